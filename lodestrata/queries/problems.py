@@ -189,9 +189,9 @@ _DOWN = f"""WITH RECURSIVE {_FOREST},
     "p5_found",
     f"""{_DOWN},
     lost AS (SELECT l.kind, l.id, l.parent, n.sort FROM links l JOIN nodes n USING (kind, id) WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.kind = l.kind AND t.id = l.id)),
-    up AS (SELECT kind, id, parent AS at FROM lost UNION SELECT u.kind, u.id, l.parent FROM up u JOIN lost l ON l.kind = u.kind AND l.id = u.at),
-    ring AS (SELECT kind, id FROM up WHERE id = at),
-    cycles AS (SELECT u.kind, u.id, arg_min(r.id, n.sort) AS cycle_id FROM up u JOIN ring r ON r.kind = u.kind AND r.id = u.at JOIN nodes n ON n.kind = r.kind AND n.id = r.id GROUP BY 1, 2)
+    up AS (SELECT kind, id, parent AS goal FROM lost UNION SELECT u.kind, u.id, l.parent FROM up u JOIN lost l ON l.kind = u.kind AND l.id = u.goal),
+    ring AS (SELECT kind, id FROM up WHERE id = goal),
+    cycles AS (SELECT u.kind, u.id, arg_min(r.id, n.sort) AS cycle_id FROM up u JOIN ring r ON r.kind = u.kind AND r.id = u.goal JOIN nodes n ON n.kind = r.kind AND n.id = r.id GROUP BY 1, 2)
     SELECT kind AS node_kind, id AS node_id, cycle_id FROM cycles""",
 )
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
