@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lodestrata.queries import problems
+from lodestrata.queries import kv, problems, series
 from lodestrata.queries.registry import Registry
 
 
 def core_registry() -> Registry:
     registry = Registry()
-    for module in (problems,):
+    for module in (problems, kv, series):
         registry.include(module.REGISTRY)
     return registry
