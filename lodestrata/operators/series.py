@@ -142,8 +142,7 @@ def value_histogram(points: DataFrame, bins: int | None = None) -> DataFrame:
     wanted = F.greatest(F.lit(10), F.floor(F.sqrt("n"))).cast("int") if bins is None else F.lit(bins)
     bounds = stats.select("lo", "hi", "n", F.when(F.col("lo") == F.col("hi"), 1).otherwise(wanted).alias("bins"))
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
-    # The bounds are one row.
-    rows = points.where("value is not null").select("value").crossJoin(F.broadcast(bounds))
+    rows = points.where("value is not null").select("value", bounds.select(F.struct("*")).scalar().alias("b")).select("value", "b.*")
     bin_of = F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.least(F.col("bins") - 1, F.floor((F.col("value") - F.col("lo")) / width))).cast("int")
     counts = rows.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("count"))
     all_of = bounds.where("n > 0").withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lodestrata.queries import kv, problems, series
+from lodestrata.queries import entities, kv, problems, records, series
 from lodestrata.queries.registry import Registry
 
 
 def core_registry() -> Registry:
     registry = Registry()
-    for module in (problems, kv, series):
+    for module in (problems, kv, series, entities, records):
         registry.include(module.REGISTRY)
     return registry
