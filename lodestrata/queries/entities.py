@@ -104,7 +104,7 @@ def _sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 for _name, _op, _f in (("set_union", "UNION", search.merge_union), ("set_intersect", "INTERSECT", search.merge_intersection), ("set_except", "EXCEPT", search.merge_difference)):
-    REGISTRY.add(_name, lambda spark, sf, f=_f: f(*_sets(spark, sf)), f"{_EVER} relevance_factors {_op} {_EVER} snapshot_deliveries")
+    REGISTRY.add(_name, lambda spark, sf, f=_f: f(*reversed(_sets(spark, sf))), f"{_EVER} snapshot_deliveries {_op} {_EVER} relevance_factors")
 
 
 @Q(

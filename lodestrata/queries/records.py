@@ -71,10 +71,10 @@ def doc_by_severity(spark: SparkSession, sf: str) -> DataFrame:
     return versions_of(spark, sf).where(dh.matching(severity="critical")).select("version_id")
 
 
-@Q("doc_by_time", f"WITH {_V} SELECT version_id FROM v WHERE ts BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1994-06-30'")
+@Q("doc_by_time", f"WITH {_V} SELECT version_id FROM v WHERE ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-06-30'")
 def doc_by_time(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda s: F.lit(s).cast("timestamp_ntz")
-    return versions_of(spark, sf).where(dh.matching(start=t("1994-01-01 00:00:00"), end=t("1994-06-30 00:00:00"))).select("version_id")
+    return versions_of(spark, sf).where(dh.matching(start=t("1996-01-01 00:00:00"), end=t("1996-06-30 00:00:00"))).select("version_id")
 
 
 @Q("doc_latest", f"WITH {_V} SELECT path, branch, arg_max(version_id, seq) AS version_id FROM v GROUP BY 1, 2")
