@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.leakage import leaked_items
-from lodestrata.llm.shared_spans import shared_coverage, shared_pairs
+from lodestrata.llm.shared_spans import shared_clusters, shared_coverage, shared_pairs
 from lodestrata.llm.tokenizer import encode_texts
 from lodestrata.queries.registry import Registry
 from lodestrata.sources.tables import table
@@ -18,12 +18,13 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_texts(table(spark, sf, "documents"))
 
 
-# A run of 13 words of an item stands between blanks in the blank-separated words of a document.
-_LEAKS = """WITH docs AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS words FROM documents WHERE text IS NOT NULL),
+# Runs of as many words as some item needs, of items and of documents, met as texts.
+_LEAKS = """WITH split AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM documents WHERE text IS NOT NULL),
     items AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM benchmark WHERE regexp_matches(lower(text), '[a-z0-9]')),
-    grams AS (SELECT DISTINCT item_id, ' ' || array_to_string(words[k : k + least(13, len(words)) - 1], ' ') || ' ' AS gram
-              FROM items, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS t(k))
-    SELECT DISTINCT doc_id, item_id FROM docs, grams WHERE contains(docs.words, grams.gram)"""
+    grams AS (SELECT DISTINCT item_id, array_to_string(words[k : k + least(13, len(words)) - 1], ' ') AS gram FROM items, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS t(k)),
+    sizes AS (SELECT DISTINCT least(13, len(words)) AS n FROM items),
+    runs AS (SELECT doc_id, array_to_string(words[k : k + n - 1], ' ') AS gram FROM split, sizes, unnest(range(1, len(words) - n + 2)) AS t(k))
+    SELECT DISTINCT doc_id, item_id FROM runs JOIN grams USING (gram)"""
 
 
 @REGISTRY.query("p8_found", _LEAKS)
@@ -31,7 +32,15 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select("doc_id", "item_id")
 
 
-@REGISTRY.query("p9_found")
+# Every window of 300 characters: met by hash, compared as texts.
+_SPANS = """WITH long AS (SELECT doc_id, text FROM documents WHERE length(text) >= 300),
+    windows AS (SELECT doc_id, k, hash(substring(text, k, 300)) AS h FROM long, unnest(range(1, length(text) - 298)) AS t(k)),
+    shared AS (SELECT h FROM windows GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+    few AS (SELECT w.doc_id, substring(l.text, w.k, 300) AS w FROM windows w SEMI JOIN shared USING (h) JOIN long l ON l.doc_id = w.doc_id)
+    SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM few a JOIN few b ON a.w = b.w AND a.doc_id < b.doc_id"""
+
+
+@REGISTRY.query("p9_found", _SPANS)
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_pairs(table(spark, sf, "documents"))
 
@@ -39,3 +48,8 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 @REGISTRY.query("p9_coverage")
 def p9_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return shared_coverage(table(spark, sf, "documents"))
+
+
+@REGISTRY.query("p9_clusters")
+def p9_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_clusters(table(spark, sf, "documents"))

@@ -241,3 +241,37 @@ def shared_coverage(documents: DataFrame, key: str = "doc_id", text: str = "text
     joined = rows.join(classes, "cls", "left").join(covered, "cls", "left").join(degrees, "cls", "left")
     shared = F.when((F.col("copies") > 1) & (F.col("n_chars") >= span), F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)).cast("long"))
     return joined.select("doc_id", "class_id", "n_chars", shared.alias("shared_chars"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, component`` (the smallest node) of each node of ``links`` (``a, b``), by alternating large and small stars.
+
+    Each round hooks the neighbours of a node to the smallest of them; nodes' neighbourhoods are aggregated and joined, never gathered.
+    """
+    edges = cut(links.where("a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
+    before = None
+    while True:
+        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").where("hi != lo").distinct()
+        edges = cut(small)
+        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
+        if state == before:
+            break
+        before = state
+    # At rest every node hangs on the smallest of its component.
+    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(edges.select(F.col("lo"), F.col("lo")).distinct())
+
+
+def shared_clusters(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
+    """``doc_id, cluster_id, keep`` of each document that shares a span with another, or is copied: documents linked by shared spans form
+    a cluster, named by its smallest key, which is the one that removal keeps."""
+    links, _ = span_links(documents.select(documents[text].alias("text")), span, shingle, crowd)
+    members = _members(documents, key, text, span).distinct()
+    classes = members.groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    linked = components(links.select("a", "b")).select(F.col("node").alias("cls"), "component")
+    rows = members.join(classes, "cls").join(linked, "cls", "left").where("component is not null or copies > 1").withColumn("component", F.coalesce("component", "cls"))
+    named = rows.groupBy("component").agg(F.min("id").alias("cluster_id"))
+    return rows.join(named, "component").select(F.col("id").alias("doc_id"), "cluster_id", (F.col("id") == F.col("cluster_id")).alias("keep"))
