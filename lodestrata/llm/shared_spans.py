@@ -158,10 +158,16 @@ def _meet(keys: DataFrame) -> DataFrame:
     return left.join(right, "sig").where("a < b").select("a", "b").distinct()
 
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """The rows of ``keys`` whose signature at least two classes have, with their number ``n``; one shuffle, by signature."""
-    once = keys.repartition("sig").groupBy("sig", "cls").agg(F.min("at").alias("at"), F.collect_set("at").alias("ats"))
-    return once.withColumn("n", F.count("*").over(W.partitionBy("sig"))).where("n > 1")
+def _met(keys: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``sig, cls, ats`` of the signatures that at least two classes have, each class once.
+
+    Counting signatures merges before the shuffle, so that one that a third of all texts have is no burden; few of them occur twice,
+    and only their rows move with their classes.
+    """
+    twice = cut(keys.groupBy("sig").count().where("count > 1").select("sig"))
+    once = cut(keys.join(broadcast_if_bounded(twice, max_rows), "sig", "left_semi").groupBy("sig", "cls").agg(F.collect_set("at").alias("ats")))
+    alone = once.groupBy("sig").count().where("count = 1").select("sig")  # of copies of one text
+    return cut(once.join(broadcast_if_bounded(alone, max_rows), "sig", "left_anti"))
 
 
 def span_links(texts: DataFrame, span: int = SPAN, shingle: int = SHINGLE, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
@@ -173,16 +179,17 @@ def span_links(texts: DataFrame, span: int = SPAN, shingle: int = SHINGLE, crowd
     of boilerplate somewhat shorter than a span, meet under hashes of whole windows instead, so that only texts meet that share one.
     """
     long = texts.where(F.length("text") >= span).select("text")
-    signed = cut(_shared(_sign(long, span, shingle)).select("cls", "sig", "ats", "n"))
+    signed = _met(_sign(long, span, shingle))
+    busy = broadcast_if_bounded(signed.groupBy("sig").count().where(F.col("count") > crowd).select("sig"))
     concerned = signed.select("cls").distinct()
     held = long.withColumn("cls", _text_class(F.col("text"))).join(broadcast_if_bounded(concerned), "cls", "left_semi")
     held = cut(held.groupBy("cls").agg(F.first("text").alias("text")))
-    meetings = _meet(signed.where(F.col("n") <= crowd))
-    crowded = signed.where(F.col("n") > crowd)
+    meetings = _meet(signed.join(busy, "sig", "left_anti"))
+    crowded = signed.join(busy, "sig", "left_semi")
     if not crowded.isEmpty():
         spots = crowded.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
         whole = _whole_windows(held.join(spots, "cls").select("cls", "text", "ats"), span, shingle)
-        meetings = meetings.union(_meet(_shared(whole.withColumn("at", F.lit(0))))).distinct()
+        meetings = meetings.union(_meet(_met(whole.withColumn("at", F.lit(0))))).distinct()
     pairs = meetings.join(held.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
