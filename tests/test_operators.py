@@ -41,8 +41,7 @@ def test_as_of(spark):
     value = lambda t: {r.entity_id: (r.seq, r.new_value) for r in temporal.as_of(df, when(t)).collect()}
     assert value(-1) == {} and value(0) == {"a": (1, "1")} and value(99) == {"a": (3, None), "b": (4, "x")}
     asked = spark.createDataFrame([("n", "a"), ("n", "zz"), ("n", "a")], "entity_ns string, entity_id string")
-    assert sorted((r.entity_id, r.seq) for r in temporal.multi_as_of(df, asked, when(0)).collect()) == [("a", 1), ("a", 1), ("zz", None)] or True
-    assert temporal.multi_as_of(df, asked, when(0)).count() == 3
+    assert sorted((r.entity_id, r.seq or 0) for r in temporal.multi_as_of(df, asked, when(0)).collect()) == [("a", 1), ("a", 1), ("zz", 0)]
     assert {r.entity_id: r.seq for r in temporal.first_state(df).collect()} == {"a": 1, "b": 4}
     assert {r.entity_id: r.seq for r in temporal.last_state(df).collect()} == {"a": 3, "b": 4}
     assert temporal.numeric(changes(spark, [(0, "a", "k", "abc"), (1, "a", "k", None), (2, "a", "k", "1.5"), (3, "a", "k", "NaN")])).count() == 1
