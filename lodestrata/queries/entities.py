@@ -164,7 +164,7 @@ def rank_topk_per_query(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.top_k_per(scored(spark, sf, "balanced"), ["query_id"], 3, ["result_id"]).select("query_id", "result_id")
 
 
-@Q("rank_factors", "SELECT p_partkey, round(greatest(0, 1 - (p_size * 24.0) / 720), 6) AS recency, round(least(1.0, p_retailprice / 100.0), 6) AS popularity, round((CASE WHEN list_contains(string_split(p_type, ' '), 'STEEL') THEN 1 ELSE 0 END + CASE WHEN list_contains(string_split(p_type, ' '), 'BRASS') THEN 1 ELSE 0 END) / 2.0, 6) AS semantic_similarity, CASE WHEN contains(p_type, 'STEEL BRASS') THEN 1.0 ELSE 0.0 END AS exact_match FROM part")
+@Q("rank_factors", "SELECT p_partkey, round(greatest(0, 1 - (p_size * 24.0) / 720), 6) AS recency, round(least(1.0, p_retailprice / 100.0), 6) AS popularity, round((CASE WHEN list_contains(string_split(p_type, ' '), 'STEEL') THEN 1 ELSE 0 END + CASE WHEN list_contains(string_split(p_type, ' '), 'BRASS') THEN 1 ELSE 0 END) / 2.0, 6) AS semantic_similarity, CASE WHEN contains(p_type, 'STEEL BRASS') THEN CAST(1 AS DOUBLE) ELSE 0 END AS exact_match FROM part")
 def rank_factors(spark: SparkSession, sf: str) -> DataFrame:
     now = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
     made = F.timestamp_micros(F.unix_micros(now.cast("timestamp")) - F.col("p_size").cast("long") * 86_400_000_000)

@@ -142,7 +142,7 @@ def doc_risk(spark: SparkSession, sf: str) -> DataFrame:
     return dh.change_risk(versions_of(spark, sf)).select("path", "version_id", F.round("score", 6).alias("score"))
 
 
-@Q("doc_impact", f"WITH {_V} SELECT path, 'high' AS risk, round(least(1, count(*) / 50), 6) AS confidence, CASE WHEN count(*) FILTER (severity = 'critical' AND intent = 'bugfix') > 0 THEN 1.0 ELSE 0.0 END AS regression_probability FROM v GROUP BY 1")
+@Q("doc_impact", f"WITH {_V} SELECT path, 'high' AS risk, round(least(1, count(*) / 50), 6) AS confidence, CASE WHEN count(*) FILTER (severity = 'critical' AND intent = 'bugfix') > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS regression_probability FROM v GROUP BY 1")
 def doc_impact(spark: SparkSession, sf: str) -> DataFrame:
     return dh.predicted_impact(versions_of(spark, sf), "critical", "bugfix").withColumn("confidence", F.round("confidence", 6))
 
