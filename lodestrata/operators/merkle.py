@@ -143,8 +143,14 @@ def validity(changes: DataFrame, keys: Sequence[str] = ("entity_namespace", "ent
 
     Where clocks disagree with versions, a version begins at the greatest time of the versions up to it, so that periods never
     overlap; a version that a later one overtook in the same instant has an empty period. A null time leaves the
-    beginning to the versions before.
+    beginning to the versions before. A key's versions are unique; they are taken in blocks, so that no task holds a busy key.
     """
-    order = W.partitionBy(*keys).orderBy(version)
-    begun = changes.withColumn("valid_from", F.max(ts).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return begun.withColumn("valid_to", F.lead("valid_from").over(order)).withColumn("is_current", F.lead(version).over(order).isNull())
+    rows = changes.select(F.struct(*keys).alias("_key"), F.col(version).alias("_v"), F.col(ts).alias("_t"), F.struct(*changes.columns).alias("_row")).withColumn("_b", F.floor(F.col("_v") / BLOCK))
+    along = W.partitionBy("_key").orderBy("_b")
+    ends = rows.groupBy("_key", "_b").agg(F.max("_t").alias("top"), F.min_by("_t", "_v").alias("first")).withColumn("before", F.max("top").over(along.rowsBetween(W.unboundedPreceding, -1)))
+    ends = ends.withColumn("begun", F.greatest("first", "before")).select("_key", "_b", "before", F.lead("begun").over(along).alias("next"), F.lead("_b").over(along).isNull().alias("closing"))
+    inside = W.partitionBy("_key", "_b").orderBy("_v")
+    from_ = F.greatest(F.max("_t").over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("before"))
+    begun = rows.join(ends, ["_key", "_b"]).withColumn("valid_from", from_).withColumn("_ends", F.lead("_v").over(inside).isNull())
+    until = F.when(F.col("_ends"), F.col("next")).otherwise(F.lead("valid_from").over(inside))
+    return begun.withColumn("valid_to", until).select("_row.*", "valid_from", "valid_to", (F.col("_ends") & F.col("closing")).alias("is_current"))

@@ -115,8 +115,16 @@ def test_history(spark, monkeypatch, block):
     assert {tuple(r) for r in changes.select("entity_namespace", "entity_local_id", "version").collect()} == want
     for depth in (1, 3):
         assert changed_versions(df, depth=depth, keep_state=False).count() == len(want)
-    periods = validity(changes).collect()
-    assert sum(r.is_current for r in periods) == len(truth) and all(r.valid_to is None or r.valid_to >= r.valid_from for r in periods)
+    periods = validity(changes.withColumn("ts", F.when(F.col("version") % 7 == 0, F.lit(ts(-500))).when(F.col("version") % 11 != 0, F.col("ts")))).collect()
+    chains = {}
+    for r in sorted(periods, key=lambda r: r.version):
+        chains.setdefault((r.entity_namespace, r.entity_local_id), []).append(r)
+    for chain in chains.values():
+        begun = None
+        for r, after in zip(chain, [*chain[1:], None]):
+            begun = max((t for t in (begun, r.ts) if t is not None), default=None)
+            assert r.valid_from == begun and r.valid_to == (after and after.valid_from) and r.is_current == (after is None)
+    assert sum(r.is_current for r in periods) == len(truth) and len(chains) == len(truth)
     assert changed_versions(df.limit(0)).collect() == []
 
 
