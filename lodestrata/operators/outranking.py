@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from lodestrata.plans.lineage import cut
 from lodestrata.plans.ranking import BIG_GROUP, BLOCKS, running_sums, value_blocks
@@ -71,5 +71,10 @@ def net_flow(
     scored = once.select("g", "i").join(by, ["g", "i"], "left").join(groups, "g").select("g", "i", *[share(k).alias(f"w{k}") for k in range(len(names))])
     net = sum((F.col(f"w{k}") * F.lit(float(weights[c]) / mean) for k, c in enumerate(names)), F.lit(0.0))
     scored = cut(scored.withColumn("net", net).withColumn("down", F.round(-F.col("net"), 12) + F.lit(0.0)).withColumn("one", F.lit(1).cast("long")))
-    final = running_sums(value_blocks(scored, ["g"], "down", big), ["g"], ["down", "i"], {"one": "position"})
+    # First come all better flows, then the equal ones by item; both are counted in blocks, as either can be very many.
+    levels = scored.groupBy("g", "down").agg(F.sum("one").alias("m"))
+    better = running_sums(value_blocks(levels, ["g"], "down", big), ["g"], ["down"], {"m": "upto"}).select("g", "down", (F.col("upto") - F.col("m")).alias("better"))
+    numeric = isinstance(scored.schema["i"].dataType, T.NumericType)  # only numbers have quantiles to split at
+    tied = value_blocks(scored, ["g", "down"], "i", big) if numeric else scored.withColumn("block", F.lit(0))
+    final = running_sums(tied, ["g", "down"], ["i"], {"one": "place"}).join(better, ["g", "down"]).withColumn("position", F.col("better") + F.col("place"))
     return final.select(F.col("g").alias(group), F.col("i").alias(item), *[F.col(f"w{k}").alias(f"flow_{c}") for k, c in enumerate(names)], F.col("net").alias("net_flow"), "position")
