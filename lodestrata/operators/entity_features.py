@@ -12,7 +12,7 @@ MAX_HEAVY_GROUPS = 1_000
 
 def normal_type(column: Column) -> Column:
     """Lower case without surrounding white space."""
-    return F.lower(F.regexp_replace(column, r"^\s+|\s+$", ""))
+    return F.lower(F.btrim(column, F.lit(" \t\n\x0b\f\r")))
 
 
 def _heavy_groups(events: DataFrame, share: float) -> list[tuple]:
