@@ -64,11 +64,11 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def signatures(texts: list[str], span: int = SPAN, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``text, signature, position``: each window's least shingle hash, once per run of windows that have it in common.
+def signed_runs(texts: list[str], span: int = SPAN, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``text, signature, first, last``: each window's least shingle hash, once per run of windows that have it in common.
 
     Two equal windows of ``span`` characters hold the same shingles, so they have the same signature: no shared span is missed.
-    The position is the first of the run's windows.
+    ``first`` and ``last`` are the positions of the run's windows. A run of periodic text is of any length, as its least shingle recurs.
     """
     codes = [code_points(t) for t in texts]
     size = np.array([len(c) for c in codes])
@@ -78,8 +78,16 @@ def signatures(texts: list[str], span: int = SPAN, shingle: int = SHINGLE) -> tu
     inside = np.arange(len(least)) + span <= ends[own]  # the window ends within its text
     new = np.ones(len(least), bool)
     new[1:] = (least[1:] != least[:-1]) | (own[1:] != own[:-1])
-    at = np.flatnonzero(new & inside)
-    return own[at], least[at].view(np.int64), (at - (ends - size)[own[at]]).astype(np.int32)
+    begins = np.flatnonzero(new)
+    last = np.minimum(np.append(begins[1:], len(least)) - 1, ends[own[begins]] - span)
+    at, last = begins[inside[begins]], last[inside[begins]]
+    offset = (ends - size)[own[at]]
+    return own[at], least[at].view(np.int64), (at - offset).astype(np.int32), (last - offset).astype(np.int32)
+
+
+def signatures(texts: list[str], span: int = SPAN, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``text, signature, position`` of :func:`signed_runs`; the position is the first of the run's windows."""
+    return signed_runs(texts, span, shingle)[:3]
 
 
 def shared_windows(a: str, b: str, span: int = SPAN) -> list[tuple[int, int]]:
@@ -126,15 +134,16 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
 
 
 def _sign(texts: DataFrame, span: int, shingle: int) -> DataFrame:
-    """``cls, sig, at`` of each signature of the texts."""
+    """``cls, sig, at`` of each signature of the texts; ``at`` has the ``first`` and ``last`` window of a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _portions(batches):
-            own, sig, at = signatures(part, span, shingle)
+            own, sig, first, last = signed_runs(part, span, shingle)
+            at = pa.StructArray.from_arrays([pa.array(first), pa.array(last)], ["first", "last"])
             names = pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in part], pa.binary())
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), pa.array(sig), pa.array(at)], ["cls", "sig", "at"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), pa.array(sig), at], ["cls", "sig", "at"])
 
-    return texts.mapInArrow(run, "cls binary, sig long, at int")
+    return texts.mapInArrow(run, "cls binary, sig long, at struct<first:int,last:int>")
 
 
 def _whole_windows(texts: DataFrame, span: int, shingle: int) -> DataFrame:
@@ -144,9 +153,11 @@ def _whole_windows(texts: DataFrame, span: int, shingle: int) -> DataFrame:
         for batch in batches:
             for cls, text, ats in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 hashes = window_hashes(code_points(text), span)
-                # The windows of one run follow its first; none lies further from it than a window is long.
-                near = np.unique(np.concatenate([np.arange(max(0, at), min(len(hashes), at + span)) for at in ats]))
-                sig = np.unique(hashes[near]).view(np.int64)
+                marks = np.zeros(len(hashes) + 1, np.int64)
+                for at in ats:
+                    marks[at["first"]] += 1
+                    marks[at["last"] + 1] -= 1
+                sig = np.unique(hashes[np.cumsum(marks[:-1]) > 0]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([cls] * len(sig), pa.binary()), pa.array(sig)], ["cls", "sig"])
 
     return texts.mapInArrow(run, "cls binary, sig long")

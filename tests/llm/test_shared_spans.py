@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from lodestrata.llm.shared_spans import code_points, components, shared_clusters, shared_coverage, shared_pairs, shared_windows, signatures, sliding_least, window_hashes
+from lodestrata.llm.shared_spans import code_points, components, shared_clusters, shared_coverage, shared_pairs, shared_windows, signatures, signed_runs, sliding_least, window_hashes
 
 
 def brute(rows, span):
@@ -57,6 +57,27 @@ def test_signatures_lose_nothing():
         assert of[a] & of[b]
 
 
+def test_runs_hold_every_window():
+    texts = [t for _, t in make(random.Random(2)) if t and len(t) >= 300] + ["0123456789" * 90, "ab" * 300 + "c" * 40]
+    held = defaultdict(list)
+    for i, first, last in zip(*(x.tolist() for x in np.array(signed_runs(texts), dtype=object)[[0, 2, 3]])):
+        held[i] += range(first, last + 1)
+    assert held == {i: list(range(len(t) - 299)) for i, t in enumerate(texts)}
+
+
+def test_long_periodic_stretch_in_a_crowd(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = []
+    for k in range(0, 80, 10):
+        line, tail = text(60), text(45)
+        rows += [(k, (line * 12)[20:720] + tail), (k + 1, (line * 12)[455:720] + tail + text(30))]  # 310 characters in common, at the end of a run of 400 windows
+        rows += [(k + 2 + j, text(20) + line * 6 + text(20)) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in shared_pairs(df, crowd=2).collect()}
+    assert got == brute(rows, 300) and all((k, k + 1) in got for k in range(0, 80, 10))
+
+
 def test_shared_windows():
     assert shared_windows("xxabcdefyy", "zabcdefz", 4) == [(2, 8)]
     assert shared_windows("abcd", "dcba", 4) == [] and shared_windows("ab", "ab", 4) == []
