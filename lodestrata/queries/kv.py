@@ -128,3 +128,53 @@ def kv_entities(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("key").cast("string")
     keys = tt.as_of(log_of(spark, sf)).where(text.rlike("^[a-z]+:[0-9]+(:[0-9]+)?$"))
     return keys.groupBy(F.split_part(text, F.lit(":"), F.lit(1)).alias("entity_type")).agg(F.count("*").alias("entities"))
+
+
+# --- snapshots of the whole log: the last one, and the one at half of it ----------------------------------------------------------------
+
+_ENDS = "ends AS (SELECT t.top, (SELECT coalesce(max(txn_id), 0) FROM log WHERE txn_id <= t.top // 2) AS mid FROM (SELECT coalesce(max(txn_id), 0) AS top FROM log) t)"
+
+
+def _ends(spark: SparkSession, sf: str) -> tuple[int, int]:
+    """The last committed transaction, and the last one committed up to half its number."""
+    commits = table(spark, sf, "kv_commits")  # repeats don't matter here
+    top = tt.latest_snapshot(commits)
+    return top, _upto(commits, top // 2)
+
+
+def _as_of_end(name: str, end: str) -> str:
+    return f"""{name} AS (SELECT key, value, txn_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY txn_id DESC, seq DESC) AS age
+      FROM log WHERE key IS NOT NULL AND txn_id <= (SELECT {end} FROM ends)) WHERE age = 1 AND op = 'put')"""
+
+
+@REGISTRY.query("kv_snapshot_as_of_last", f"WITH {_LOG}, {_ENDS}, {_as_of_end('s', 'top')} SELECT hex(key) AS key_hex, hex(value) AS value_hex, txn_id, seq FROM s")
+def kv_snapshot_as_of_last(spark: SparkSession, sf: str) -> DataFrame:
+    top, _ = _ends(spark, sf)
+    return _hexed(tt.as_of(log_of(spark, sf), top), "txn_id", "seq")
+
+
+@REGISTRY.query(
+    "kv_snapshot_diff_half",
+    f"""WITH {_LOG}, {_ENDS}, {_as_of_end('a', 'mid')}, {_as_of_end('b', 'top')}
+    SELECT hex(coalesce(a.key, b.key)) AS key_hex, hex(a.value) AS old_hex, hex(b.value) AS new_hex,
+           CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+    FROM a FULL JOIN b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR a.value IS DISTINCT FROM b.value""",
+)
+def kv_snapshot_diff_half(spark: SparkSession, sf: str) -> DataFrame:
+    top, mid = _ends(spark, sf)
+    diff = tt.changes_between(log_of(spark, sf), mid, top)
+    return diff.select(F.hex("key").alias("key_hex"), F.hex("old_value").alias("old_hex"), F.hex("new_value").alias("new_hex"), "change_kind")
+
+
+@REGISTRY.query(
+    "kv_read_your_writes_half",
+    f"""WITH {_LOG}, {_ENDS}, {_as_of_end('s', 'mid')}, pending AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY txn_id DESC, seq DESC) AS age FROM log WHERE txn_id > (SELECT mid FROM ends) AND key IS NOT NULL)
+    SELECT hex(key) AS key_hex, hex(value) AS value_hex FROM pending WHERE age = 1 AND op = 'put'
+    UNION ALL SELECT hex(key), hex(value) FROM s WHERE key NOT IN (SELECT key FROM pending)""",
+)
+def kv_read_your_writes_half(spark: SparkSession, sf: str) -> DataFrame:
+    log = log_of(spark, sf)
+    _, mid = _ends(spark, sf)
+    # The later half of the log stands for a writer's pending mutations; seq is an int, so the sum keeps its order.
+    pending = log.where(F.col("txn_id") > mid).select((F.col("txn_id") * 2**31 + F.col("seq")).alias("seq"), "op", "key", "value")
+    return _hexed(tt.overlay(tt.as_of(log, mid, check=False), pending))

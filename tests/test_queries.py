@@ -36,3 +36,13 @@ def test_query(spark, con, name):
         order = sorted(df.columns)
         assert order == sorted(names)
         assert Counter(tuple(plain(r[c]) for c in order) for r in rows) == Counter(tuple(plain(r[names.index(c)]) for c in order) for r in theirs)
+
+
+@pytest.mark.parametrize("name", ["kv_snapshot_as_of_last", "kv_snapshot_diff_half", "kv_read_your_writes_half"])
+def test_snapshots_of_the_whole_log(spark, tmp_path, name):
+    # A key that is written only after transaction 200.
+    rows = [(1, t, s, "put", k, f"{t}.{s}".encode()) for t, s, k in ((90, 0, b"a"), (180, 0, b"b"), (1500, 0, b"a"), (1500, 1, b"c"), (2900, 0, b"c"), (2900, 1, b"d"))] + [(9, 2901, 0, " DEL", b"b", None), (9, 2900, 1, "put", b"x", b"repeat")]
+    spark.createDataFrame(rows, "feed_offset long, txn_id long, seq int, op string, key binary, value binary").write.parquet(f"{tmp_path}/kv_commits.parquet")
+    got = {tuple(bytes.fromhex(v) if isinstance(v, str) and k.endswith("hex") else v for k, v in r.asDict().items() if k not in ("txn_id", "seq")) for r in REGISTRY.queries[name](spark, str(tmp_path)).collect()}
+    last = {(b"a", b"1500.0"), (b"c", b"2900.0"), (b"d", b"2900.1")}
+    assert got == ({(b"a", b"90.0", b"1500.0", "changed"), (b"b", b"180.0", None, "removed"), (b"c", None, b"2900.0", "added"), (b"d", None, b"2900.1", "added")} if name == "kv_snapshot_diff_half" else last)
