@@ -46,3 +46,25 @@ def test_snapshots_of_the_whole_log(spark, tmp_path, name):
     got = {tuple(bytes.fromhex(v) if isinstance(v, str) and k.endswith("hex") else v for k, v in r.asDict().items() if k not in ("txn_id", "seq")) for r in REGISTRY.queries[name](spark, str(tmp_path)).collect()}
     last = {(b"a", b"1500.0"), (b"c", b"2900.0"), (b"d", b"2900.1")}
     assert got == ({(b"a", b"90.0", b"1500.0", "changed"), (b"b", b"180.0", None, "removed"), (b"c", None, b"2900.0", "added"), (b"d", None, b"2900.1", "added")} if name == "kv_snapshot_diff_half" else last)
+
+
+def test_pii_redact_all(spark, tmp_path):
+    import hashlib
+    import random
+    import re
+
+    from lodestrata.functions.textscan import PERSONAL
+
+    rng = random.Random(4)
+    pieces = ["a.b+c@mail.example.org", "x@y", "123-45-6789", "1123-45-6789", "4111 1111 1111 1111", "4111-1111-1111-1111", "411111111111", "1 555 123 4567", "+44 207 9460 958", "555 1234", "näher", "\n", "Call", "é123-45-6789"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(8))) for _ in range(200)] + ["m@n.de 123-45-6789 4111 1111 1111 1111, +1 555 123 4567"]
+    spark.createDataFrame([*enumerate(texts), (999, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in enumerate(texts):
+        n = 0
+        for pattern, name in PERSONAL:
+            t, k = re.subn(pattern, name, t)
+            n += k
+        want[i] = (hashlib.md5(t.encode()).hexdigest(), n)
+    got = {r.doc_id: (r.digest, r.redactions) for r in REGISTRY.queries["pii_redact_all"](spark, str(tmp_path)).collect()}
+    assert got == want and want[200] == (hashlib.md5(b"[EMAIL] [SSN] [CARD], [PHONE]").hexdigest(), 4)
