@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestrata.operators import anomaly, series, temporal
+from lodestrata.operators.snapshot_diff import neighbouring_changes
 from lodestrata.queries.registry import Registry
 from lodestrata.sources.tables import table
 
@@ -168,6 +169,25 @@ def entity_field_delta(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, list(_KEYS)).select(*_KEYS, F.explode(temporal.field_delta(F.col("older"), F.col("newer"))).alias("d")).select(*_KEYS, "d.field", "d.change")
 
 
+@Q(
+    "entity_field_delta_all",
+    """WITH n AS (SELECT delivery_no, lag(delivery_no) OVER (ORDER BY delivery_no) AS before FROM (SELECT DISTINCT delivery_no FROM snapshot_deliveries WHERE delivery_no IS NOT NULL)),
+    r AS (SELECT DISTINCT ON (delivery_no, entity_namespace, entity_local_id) * FROM snapshot_deliveries ORDER BY delivery_no, entity_namespace, entity_local_id, delivered_at DESC),
+    pairs AS MATERIALIZED (SELECT row_number() OVER () AS pair, b.delivery_no, b.entity_namespace, b.entity_local_id, a.state_data AS older, b.state_data AS newer
+      FROM n JOIN r b ON b.delivery_no = n.delivery_no JOIN r a ON a.delivery_no = n.before AND a.entity_namespace IS NOT DISTINCT FROM b.entity_namespace AND a.entity_local_id IS NOT DISTINCT FROM b.entity_local_id),
+    fa AS (SELECT pair, t.fullkey, t.type || coalesce(CAST(t.atom AS VARCHAR), '') AS v FROM pairs, json_tree(older) t),
+    fb AS (SELECT pair, t.fullkey, t.type || coalesce(CAST(t.atom AS VARCHAR), '') AS v FROM pairs, json_tree(newer) t),
+    d AS (SELECT DISTINCT coalesce(fa.pair, fb.pair) AS pair, regexp_extract(coalesce(fa.fullkey, fb.fullkey), '^\\$\\."?([a-z_]+)', 1) AS field
+          FROM fa FULL JOIN fb ON fa.pair = fb.pair AND fa.fullkey = fb.fullkey WHERE fa.v IS DISTINCT FROM fb.v AND coalesce(fa.fullkey, fb.fullkey) != '$')
+    SELECT delivery_no, entity_namespace, entity_local_id, field,
+           CASE WHEN NOT coalesce(json_exists(older, '$.' || field), false) THEN 'added' WHEN NOT coalesce(json_exists(newer, '$.' || field), false) THEN 'removed' ELSE 'modified' END AS change FROM d JOIN pairs USING (pair)""",
+)
+def entity_field_delta_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Each delivery against the nearest earlier one that is present; records that stand in one of both only have no delta, p3_found names them."""
+    changed = neighbouring_changes(table(spark, sf, "snapshot_deliveries"), keep_state=True).where("change_kind = 'changed'")
+    return changed.select("delivery_no", *_KEYS, F.explode(temporal.field_delta(F.col("old_state"), F.col("new_state"))).alias("d")).select("delivery_no", *_KEYS, "d.field", "d.change")
+
+
 # --- buckets ------------------------------------------------------------------------------------------------------------------------
 
 

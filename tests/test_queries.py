@@ -68,3 +68,11 @@ def test_pii_redact_all(spark, tmp_path):
         want[i] = (hashlib.md5(t.encode()).hexdigest(), n)
     got = {r.doc_id: (r.digest, r.redactions) for r in REGISTRY.queries["pii_redact_all"](spark, str(tmp_path)).collect()}
     assert got == want and want[200] == (hashlib.md5(b"[EMAIL] [SSN] [CARD], [PHONE]").hexdigest(), 4)
+
+
+def test_field_delta_of_every_delivery(spark, tmp_path):
+    states = {1: '{"a": 1}', 2: '{"a": 1, "b": 2}', 3: '{"b": 2.5}', 4: '{ "b": 2.5 }', 6: '{"b": {"c": 1}}', 7: '{"b": {"c": 1}}', 8: '{"b": {"c": 2}, "d": null}'}
+    rows = [(n, "ns", "e", s, n) for n, s in states.items()] + [(8, "ns", "late", '{"a": 1}', 8), (6, "ns", "e", '{"z": 0}', 5)]
+    spark.createDataFrame(rows, "delivery_no int, entity_namespace string, entity_local_id string, state_data string, s int").selectExpr("* except (s)", "timestamp_seconds(s) AS delivered_at").write.parquet(f"{tmp_path}/snapshot_deliveries.parquet")
+    got = {(r.delivery_no, r.entity_local_id, r.field, r.change) for r in REGISTRY.queries["entity_field_delta_all"](spark, str(tmp_path)).collect()}
+    assert got == {(2, "e", "b", "added"), (3, "e", "a", "removed"), (3, "e", "b", "modified"), (6, "e", "b", "modified"), (8, "e", "b", "modified"), (8, "e", "d", "added")}
