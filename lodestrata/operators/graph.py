@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -51,11 +52,12 @@ def neighbors(edges: DataFrame, starts: DataFrame, max_hops: int, rel_types: Seq
     return seen.where("hops > 0")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
     """The shortest path of each pair (``src, dst``) that has one: ``src, dst, hops, path, strength``.
 
     Of equally short paths the one whose edges come first in ``seq``, from the start on. A node has an empty path to itself. Breadth
-    first from all sources at once; a source stops when all its goals are reached.
+    first from all sources at once; a source stops when all its goals are reached. It enters each node once, so the search ends without
+    ``max_hops`` too.
     """
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("strength").cast("double").alias("w"), "seq")
     goals = pairs.select("src", "dst").distinct()
@@ -63,14 +65,16 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 64) -> Da
     seen = frontier.select("src", "node")
     done = goals.where(F.col("src") == F.col("dst")).select("src", "dst", F.lit(0).alias("hops"), F.array("src").alias("path"), F.lit(1.0).alias("strength"))
     open_goals = goals.where(F.col("src") != F.col("dst"))
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         moved = frontier.join(step, "node").join(seen.select("src", F.col("node").alias("to")), ["src", "to"], "left_anti")
         grown = moved.select("src", "to", F.struct(F.concat("order", F.array(F.col("seq").cast("long"))).alias("order"), F.concat("path", F.array("to")).alias("path"), (F.col("strength") * F.col("w")).alias("strength")).alias("x"))
         frontier = cut(grown.groupBy("src", "to").agg(F.min("x").alias("x")).select("src", F.col("to").alias("node"), "x.path", "x.strength", "x.order"))
-        hits = open_goals.join(frontier.withColumnRenamed("node", "dst"), ["src", "dst"]).select("src", "dst", F.lit(hop).alias("hops"), "path", "strength")
-        done = done.unionByName(hits)
-        open_goals = cut(open_goals.join(hits.select("src", "dst"), ["src", "dst"], "left_anti"))
-        seen = cut(seen.unionByName(frontier.select("src", "node")))
+        hits = cut(open_goals.join(frontier.withColumnRenamed("node", "dst"), ["src", "dst"]).select("src", "dst", F.lit(hop).alias("hops"), "path", "strength"))
+        if not hits.isEmpty():
+            done = cut(done.unionByName(hits))
+            open_goals = cut(open_goals.join(hits.select("src", "dst"), ["src", "dst"], "left_anti"))
+        # Long searches: neither plans nor partitions grow with the hops.
+        seen = cut(seen.unionByName(frontier.select("src", "node")).repartition("src", "node"))
         frontier = frontier.join(open_goals.select("src").distinct(), "src", "left_semi")
         if frontier.isEmpty():
             break

@@ -276,3 +276,11 @@ def test_streams_equal_batches(spark, tmp_path):
     assert rows(run.latest_per_key(windows.last_values(stream, ["k"]), ["k"])) == rows(windows.last_values(df, ["k"]))
     limited = run.appended(stateful.rate_limited(stream, "k", 1 / 300, 2.0))
     assert limited.count() == 200 and 0 < limited.where("allowed").count() < 200
+
+
+def test_long_shortest_path(spark):
+    edges = spark.range(70).selectExpr("CAST(id AS INT) AS src", "CAST(id + 1 AS INT) AS dst", "1.0 AS strength", "id AS seq")
+    pairs = spark.createDataFrame([(0, 66), (0, 3), (5, 4)], "src int, dst int")
+    got = {(r.src, r.dst): (r.hops, r.path) for r in graph.shortest_paths(edges, pairs).collect()}
+    assert got == {(0, 66): (66, list(range(67))), (0, 3): (3, [0, 1, 2, 3])}
+    assert {r.dst for r in graph.shortest_paths(edges, pairs.where("src = 0"), max_hops=3).collect()} == {3}
