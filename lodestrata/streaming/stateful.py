@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,9 +13,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lodestrata.operators.timetravel import as_of
 from lodestrata.streaming.run import run_available
 
-#: Milliseconds without a request after which a key's bucket is forgotten; a full bucket is the same as none.
-IDLE_MS = 300_000
-
 
 def token_bucket(seconds: np.ndarray, rate: float, burst: float, tokens: float, last: float) -> tuple[np.ndarray, float, float]:
     """Which requests, in order of time, a bucket lets pass, and its tokens and time afterwards."""
@@ -32,9 +30,10 @@ def rate_limited(requests: DataFrame, key: str, rate: float, burst: float | None
     """``key, event_id, allowed`` of a stream of ``key, event_id, ts``: a token bucket per key, of ``burst`` (twice the rate) tokens.
 
     A key's requests of a batch are taken in order of time and id; the state is two numbers per key, dropped once the watermark (of
-    10 minutes) has passed the key's last request by a while.
+    10 minutes) has passed the key's last request by the time that an empty bucket needs to fill: a full bucket is the same as none.
     """
     most = 2 * rate if burst is None else burst
+    full_ms = math.ceil(most / rate * 1000) + 1 if rate > 0 else None  # one without a rate never fills
     kind = requests.schema[key].dataType.simpleString()
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -45,7 +44,8 @@ def rate_limited(requests: DataFrame, key: str, rate: float, burst: float | None
         tokens, last = state.get if state.exists else (most, float(rows["sec"].iloc[0]))
         allowed, tokens, last = token_bucket(rows["sec"].to_numpy(), rate, most, tokens, last)
         state.update((tokens, last))
-        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
+        if full_ms is not None:
+            state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + full_ms)
         yield pd.DataFrame({"key": [k[0]] * len(rows), "event_id": rows["event_id"].to_numpy(), "allowed": allowed})
 
     timed = requests.withWatermark("ts", "10 minutes").select("ts", F.col(key).alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("sec"))

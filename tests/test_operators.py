@@ -284,3 +284,13 @@ def test_long_shortest_path(spark):
     got = {(r.src, r.dst): (r.hops, r.path) for r in graph.shortest_paths(edges, pairs).collect()}
     assert got == {(0, 66): (66, list(range(67))), (0, 3): (3, [0, 1, 2, 3])}
     assert {r.dst for r in graph.shortest_paths(edges, pairs.where("src = 0"), max_hops=3).collect()} == {3}
+
+
+def test_rate_limit_remembers_until_full(spark, tmp_path):
+    batches = [[(1, 0, "a"), (2, 0, "a"), (3, 0, "a")], [(4, 1600, "b")], [(5, 1601, "b")], [(6, 1010, "a"), (7, 1011, "a")]]  # the watermark passes a's first requests by 1,000 s, of 1,200
+    for rows in batches:
+        df = spark.createDataFrame([(i, at(s), k) for i, s, k in rows], "event_id long, ts timestamp_ntz, k string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "e.parquet"))
+    for files in (1, None):
+        limited = run.appended(stateful.rate_limited(run.stream_table(spark, str(tmp_path), "e", files_per_batch=files), "k", 1 / 600, 2.0))
+        assert {r.event_id for r in limited.where("allowed").collect()} == {1, 2, 4, 5, 6}
