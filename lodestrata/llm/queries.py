@@ -45,11 +45,26 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_pairs(table(spark, sf, "documents"))
 
 
-@REGISTRY.query("p9_coverage")
+# The windows of each document that stand in another one too cover its shared characters.
+_COVERAGE = _SPANS.partition("few AS")[0] + """few AS (SELECT w.doc_id, w.k, substring(l.text, w.k, 300) AS w FROM windows w SEMI JOIN shared USING (h) JOIN long l ON l.doc_id = w.doc_id),
+    twice AS (SELECT w FROM few GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+    covered AS (SELECT doc_id, sum(least(300, following - k)) AS chars FROM (SELECT doc_id, k, lead(k, 1, k + 300) OVER (PARTITION BY doc_id ORDER BY k) AS following FROM few SEMI JOIN twice USING (w)) GROUP BY 1),
+    classes AS (SELECT text, min(doc_id) AS class_id FROM documents WHERE text IS NOT NULL GROUP BY 1)
+    SELECT d.doc_id, c.class_id, length(d.text) AS n_chars, CAST(coalesce(v.chars, 0) AS BIGINT) AS shared_chars
+    FROM documents d LEFT JOIN classes c ON c.text = d.text LEFT JOIN covered v ON v.doc_id = d.doc_id"""
+
+
+@REGISTRY.query("p9_coverage", _COVERAGE)
 def p9_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return shared_coverage(table(spark, sf, "documents"))
 
 
-@REGISTRY.query("p9_clusters")
+# Everything that a document reaches along pairs; the smallest reached names the cluster.
+_CLUSTERS = f"""WITH RECURSIVE pairs AS ({_SPANS}), links AS (SELECT doc_id_a AS x, doc_id_b AS y FROM pairs UNION SELECT doc_id_b, doc_id_a FROM pairs),
+    reached AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y)
+    SELECT x AS doc_id, least(x, min(y)) AS cluster_id, x <= min(y) AS keep FROM reached GROUP BY x"""
+
+
+@REGISTRY.query("p9_clusters", _CLUSTERS)
 def p9_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return shared_clusters(table(spark, sf, "documents"))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from lodestrata.llm.shared_spans import code_points, components, shared_clusters, shared_coverage, shared_pairs, shared_windows, signatures, signed_runs, sliding_least, window_hashes
+from lodestrata.llm import shared_spans
+from lodestrata.llm.shared_spans import code_points, components, merged, pairs_within, shared_clusters, shared_coverage, shared_pairs, shared_windows, signatures, signed_runs, sliding_least, window_hashes
 
 
 def brute(rows, span):
@@ -65,17 +66,63 @@ def test_runs_hold_every_window():
     assert held == {i: list(range(len(t) - 299)) for i, t in enumerate(texts)}
 
 
-def test_long_periodic_stretch_in_a_crowd(spark):
-    rng = random.Random(5)
+def periodic(rng):
+    """Texts of rulers, table borders and repeated lines: runs of one signature of any length."""
     text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
     rows = []
     for k in range(0, 80, 10):
         line, tail = text(60), text(45)
         rows += [(k, (line * 12)[20:720] + tail), (k + 1, (line * 12)[455:720] + tail + text(30))]  # 310 characters in common, at the end of a run of 400 windows
         rows += [(k + 2 + j, text(20) + line * 6 + text(20)) for j in range(4)]
+    ruler, tail = "=" * 1000, text(110)
+    rows += [(100, ruler + tail), (101, text(50) + "=" * 200 + tail)] + [(102 + j, text(80) + "=" * 210 + text(80)) for j in range(12)]
+    return rows
+
+
+@pytest.mark.parametrize("crowd", [1, 2, 100, 10**9])
+def test_periodic_texts(spark, crowd):
+    rows = periodic(random.Random(5))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {tuple(r) for r in shared_pairs(df, crowd=2).collect()}
-    assert got == brute(rows, 300) and all((k, k + 1) in got for k in range(0, 80, 10))
+    got = {tuple(r) for r in shared_pairs(df, crowd=crowd).collect()}
+    assert got == brute(rows, 300) and all((k, k + 1) in got for k in range(0, 80, 10)) and (100, 101) in got
+
+
+@pytest.mark.parametrize("crowd", [1, 100])
+def test_near_misses_only(spark, crowd):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core = text(295)
+    df = spark.createDataFrame([(k, text(40) + core + text(40)) for k in range(6)], "doc_id long, text string")
+    assert shared_pairs(df, crowd=crowd).collect() == [] and shared_clusters(df, crowd=crowd).collect() == []
+    assert {r.shared_chars for r in shared_coverage(df, crowd=crowd).collect()} == {0}
+    assert shared_coverage(df.limit(0)).collect() == [] and shared_clusters(df.limit(0)).collect() == []
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcd") for _ in range(n)) for n in (299, 300, 301, 1000, 1299, 1300, 3456)]
+    whole = {(i, s, k) for i, s, f, l in zip(*(x.tolist() for x in signed_runs(texts))) for k in range(f, l + 1)}
+    hashes = [window_hashes(code_points(t), 300).tolist() for t in texts]
+    monkeypatch.setattr(shared_spans, "PORTION", 500)
+    assert [window_hashes(code_points(t), 300).tolist() for t in texts] == hashes
+    names = {shared_spans._digest(t): i for i, t in enumerate(texts)}
+    pieces = set()
+    for part in shared_spans._portions(iter([pa.RecordBatch.from_arrays([pa.array(texts + texts)], ["text"])]), 300):
+        assert all(len(piece) < 800 for *_, piece in part)
+        for i, s, f, l in zip(*(x.tolist() for x in signed_runs([piece for *_, piece in part]))):
+            assert texts[names[part[i][0]]][part[i][1] :].startswith(part[i][2])
+            pieces |= {(names[part[i][0]], s, part[i][1] + k) for k in range(f, l + 1)}
+    assert pieces == whole
+
+
+def test_merged_and_pairs_within(spark, monkeypatch):
+    assert merged([(5, 9), (0, 2), (3, 3), (20, 21), (6, 7)]) == [(0, 3), (5, 9), (20, 21)] and merged([]) == []
+    monkeypatch.setattr(shared_spans, "SLICE", 3)
+    rows = [(g, m) for g, n in ((1, 20), (2, 1), (3, 2), (4, 7)) for m in range(n)]
+    got = [tuple(r) for r in pairs_within(spark.createDataFrame(rows, "g int, m long"), "g", "m").collect()]
+    assert sorted(got) == sorted(p for n in (20, 1, 2, 7) for p in itertools.combinations(range(n), 2))
 
 
 def test_shared_windows():
@@ -85,16 +132,17 @@ def test_shared_windows():
     assert shared_windows("abcde", "abcd-bcde", 4) == [(0, 4), (1, 5)]  # both stand in b, but not together
 
 
-@pytest.mark.parametrize("crowd", [2, 100])
+@pytest.mark.parametrize("crowd", [1, 2, 100, 10**9])
 def test_pairs(spark, crowd):
-    rows = make(random.Random(crowd))
+    rows = make(random.Random(crowd % 97))
     df = spark.createDataFrame([(d, t, "c", 1, 2.0) for d, t in rows], "doc_id long, text string, cls string, sig int, a double")
     got = [tuple(r) for r in shared_pairs(df, crowd=crowd).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, 300)
     assert shared_pairs(df.limit(0)).collect() == []
 
 
-def test_coverage_and_clusters(spark):
+@pytest.mark.parametrize("crowd", [1, 2, 10**9])
+def test_coverage_and_clusters(spark, crowd):
     rows = make(random.Random(7))
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, links int").distinct()
     unique = {d: t for d, t in rows if d is not None}
@@ -102,7 +150,7 @@ def test_coverage_and_clusters(spark):
     for d, t in unique.items():
         for k in range(len(t or "") - 299):
             where[t[k : k + 300]].add(d)
-    got = {r.doc_id: r for r in shared_coverage(df).collect()}
+    got = {r.doc_id: r for r in shared_coverage(df, crowd=crowd).collect()}
     assert got.keys() == unique.keys()
     for d, t in unique.items():
         covered = set()
@@ -124,7 +172,7 @@ def test_coverage_and_clusters(spark):
         x, y = sorted((find(a), find(b)))
         boss[y] = x
     inside = {d for p in pairs for d in p}
-    clusters = {r.doc_id: (r.cluster_id, r.keep) for r in shared_clusters(df).collect()}
+    clusters = {r.doc_id: (r.cluster_id, r.keep) for r in shared_clusters(df, crowd=crowd).collect()}
     assert clusters == {d: (find(d), find(d) == d) for d in inside}
 
 
