@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestrata.operators.series import numbered, ranked_places
+from lodestrata.plans.lineage import cut
+from lodestrata.plans.ranking import null_safe_join
 
 
 def zscore_outliers(points: DataFrame, by: Sequence[str], threshold: float = 3.0) -> DataFrame:
@@ -53,53 +56,59 @@ def ksigma_anomalies(points: DataFrame, base: DataFrame, by: Sequence[str], k: f
     return rows.withColumn("kind", F.when(F.col("value") > F.col("mean"), "spike").otherwise("drop")).withColumn("severity", severity).withColumn("score", F.least(F.lit(1.0), off / (2 * limit)))
 
 
-#: Points of a series that one task smooths at once.
-EMA_BLOCK = 4096
+#: Points of a series that one window sums, and the greatest logarithm of a weight within it.
+RUN, REACH = 4096, 140.0
 
 
-def smoothed(points: DataFrame, by: Sequence[str], value: str, out: str, alpha: float, start: DataFrame) -> DataFrame:
-    """``points`` (with ``i`` from 1) with the exponential average after each: s = alpha * value + (1 - alpha) * s.
+def decayed_sums(rows: DataFrame, by: Sequence[str], index: str, x: str, ratio: float, out: str, most: int) -> DataFrame:
+    """``rows`` with ``out``: s(i) = x(i) + ratio * s(i - 1), from s(0) = 0; ``index`` counts from 1, without gaps, to ``most`` at most.
 
-    ``start`` has ``by`` and ``s0``. A block of points maps its start linearly to its end, so that long series are smoothed in blocks:
-    first what each block adds, then the starts of blocks along each series, then the points.
+    Within a block of neighbours it is a running sum of x over growing weights, or of the few terms that don't vanish where the
+    ratio is small; the ends of the blocks follow the same rule with a power of the ratio, and are summed in blocks in turn. So long
+    series are nobody's single window.
     """
-    blocked = points.withColumn("_b", F.floor((F.col("i") - 1) / EMA_BLOCK).cast("int"))
-    schema = blocked.select("*", F.lit(0.0).alias("_add"), F.lit(0.0).alias("_keep")).schema
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("i")
-        add, out_add = 0.0, np.empty(len(x))
-        for k, v in enumerate(x[value].to_numpy()):
-            add = alpha * v + (1 - alpha) * add
-            out_add[k] = add
-        return x.assign(_add=out_add, _keep=(1 - alpha) ** np.arange(1, len(x) + 1))
-
-    inner = blocked.groupBy(*by, "_b").applyInPandas(run, schema)  # at most EMA_BLOCK rows each
-    ends = inner.groupBy(*by, "_b").agg(F.max_by(F.struct("_add", "_keep"), "i").alias("e"))
-    # One entry per block: a series of 10^9 points has 250,000.
-    per = ends.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_b", "e._add", "e._keep"))).alias("es")).join(start, list(by))
-    begin = F.struct(F.col("s0").alias("s"), F.array().cast("array<double>").alias("all"))
-    walk = F.aggregate("es", begin, lambda a, e: F.struct((e["_add"] + e["_keep"] * a["s"]).alias("s"), F.concat(a["all"], F.array(a["s"])).alias("all")))
-    starts = per.select(*by, F.posexplode(walk["all"]).alias("_b", "_s"))
-    return inner.join(starts, [*by, "_b"]).withColumn(out, F.col("_add") + F.col("_keep") * F.col("_s")).drop("_b", "_add", "_keep", "_s")
+    if ratio <= 0:
+        return rows.withColumn(out, F.col(x).cast("double"))
+    fall = -math.log(ratio)
+    size = RUN if fall > REACH / 2 else max(2, min(RUN, int(REACH / fall)))
+    blocked = rows.withColumn("_b", F.floor((F.col(index) - 1) / size).cast("long")).withColumn("_k", (F.col(index) - 1) % size + 1)
+    inside = W.partitionBy(*by, "_b").orderBy("_k")
+    if fall > REACH / 2:
+        terms = [F.lit(ratio**j) * F.coalesce(F.lag(x, j).over(inside), F.lit(0.0)) for j in range(int(745 / fall) + 1)]
+        blocked = blocked.withColumn("_in", reduce(add, terms))
+    else:
+        power = lambda sign: F.exp(F.lit(-sign * fall) * F.col("_k"))
+        blocked = blocked.withColumn("_in", power(1) * F.sum(F.col(x) * power(-1)).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    if most <= size:
+        return blocked.withColumn(out, F.col("_in")).drop("_b", "_k", "_in")
+    blocked = cut(blocked)
+    ends = blocked.groupBy(*by, "_b").agg(F.max_by("_in", "_k").alias("_x")).select(*by, (F.col("_b") + 1).alias("_n"), "_x")
+    # The end of the block before, which is the n-th, is what block n begins with.
+    ends = decayed_sums(ends, by, "_n", "_x", ratio**size, "_end", -(-most // size)).select(*by, F.col("_n").alias("_b"), F.col("_end").alias("_before"))
+    carried = F.exp(F.lit(-fall) * F.col("_k")) * F.coalesce("_before", F.lit(0.0))
+    return null_safe_join(blocked, ends, [*by, "_b"], "left").withColumn(out, F.col("_in") + carried).drop("_b", "_k", "_in", "_before")
 
 
 def ema_anomalies(points: DataFrame, by: Sequence[str], order: Sequence[str], alpha: float = 0.2, least: int = 10, sigma: float = 2.5) -> DataFrame:
     """The points further than ``sigma`` exponential deviations from the exponential average: ``ema, deviation``.
 
     The average begins at the first value and runs over the first ``least`` points; a full pass from there gives the deviation, which
-    so knows the whole series; a second pass from the first value compares. Series of fewer points have none.
+    so knows the whole series; a second pass from the first value compares. Series of fewer points have none. Both passes are one,
+    as they differ by how they begin only; what is at the end of a pass is a weighted sum.
     """
-    rows = numbered(points.where("value is not null"), by, order)
-    long = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min_by("value", "i").alias("first")).where(F.col("n") >= least)
-    head = smoothed(rows.where(F.col("i") <= least), by, "value", "e", alpha, long.select(*by, F.col("first").alias("s0")))
-    begun = head.groupBy(*by).agg(F.max_by("e", "i").alias("s0"))
-    one = smoothed(rows, by, "value", "e", alpha, begun).withColumn("sq", F.pow(F.col("value") - F.col("e"), F.lit(2.0)))
-    spread = smoothed(one, by, "sq", "v", alpha, begun.withColumn("s0", F.lit(0.0)))
-    sd = spread.groupBy(*by).agg(F.sqrt(F.max_by("v", "i")).alias("sd"))
-    two = smoothed(rows, by, "value", "ema", alpha, long.select(*by, F.col("first").alias("s0"))).join(sd, list(by))
-    off = F.col("value") - F.col("ema")
-    return two.withColumn("deviation", off).where(F.abs(off) > sigma * F.col("sd")).drop("sd")
+    keep = 1 - alpha
+    power = lambda n: F.pow(F.lit(float(keep)), n)
+    rows = cut(numbered(points.where("value is not null"), by, order))
+    head = F.sum(F.when(F.col("i") <= least, alpha * power(F.lit(least) - F.col("i")) * F.col("value")))
+    long = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min_by("value", "i").alias("_first"), head.alias("_head")).where(F.col("_n") >= least)
+    long = cut(long.withColumn("_begun", F.col("_head") + F.lit(keep**least) * F.col("_first")))
+    most = long.agg(F.max("_n")).first()[0] or 0
+    weighted = null_safe_join(rows, long, list(by)).withColumn("_x", F.lit(alpha) * F.col("value").cast("double"))
+    passed = cut(decayed_sums(weighted, by, "i", "_x", keep, "_s", most))
+    off = F.col("value") - (F.col("_s") + power(F.col("i")) * F.col("_begun"))
+    spread = passed.groupBy(*by).agg(F.sqrt(F.sum(alpha * power(F.col("_n") - F.col("i")) * off * off)).alias("_sd"))
+    two = null_safe_join(passed, spread, list(by)).withColumn("ema", F.col("_s") + power(F.col("i")) * F.col("_first")).withColumn("deviation", F.col("value") - F.col("ema"))
+    return two.where(F.abs("deviation") > sigma * F.col("_sd")).select(*points.columns, "ema", "deviation")
 
 
 def trend(points: DataFrame, by: Sequence[str], order: Sequence[str], slope_limit: float = 0.1) -> DataFrame:

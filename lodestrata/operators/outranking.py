@@ -46,7 +46,7 @@ def net_flow(
     once = cut(rows.groupBy("g", "i").agg(F.max("row").alias("row")).select("g", "i", "row.*").drop("at"))
     long = once.select("g", "i", F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f"s{k}").alias("v")) for k in range(len(names))])).alias("x")).select("g", "i", "x.f", "x.v").where("v is not null")
     values = cut(long.groupBy("g", "f", "v").agg(F.count("*").alias("m")))
-    ranked = running_sums(value_blocks(values, ["g", "f"], "v", big), ["g", "f"], ["v"], {"m": "upto"})
+    ranked = running_sums(value_blocks(values, ["g", "f"], "v", big)[0], ["g", "f"], ["v"], {"m": "upto"})
     sizes = values.groupBy("g", "f").agg(F.sum("m").alias("n"), F.count("*").alias("kinds"))
     # u = twice the items below plus the items equal: the percentile times 2n.
     placed = cut(ranked.join(sizes, ["g", "f"]).select("g", "f", "v", "m", "n", "kinds", (2 * F.col("upto") - F.col("m")).alias("u")))
@@ -73,8 +73,8 @@ def net_flow(
     scored = cut(scored.withColumn("net", net).withColumn("down", F.round(-F.col("net"), 12) + F.lit(0.0)).withColumn("one", F.lit(1).cast("long")))
     # First come all better flows, then the equal ones by item; both are counted in blocks, as either can be very many.
     levels = scored.groupBy("g", "down").agg(F.sum("one").alias("m"))
-    better = running_sums(value_blocks(levels, ["g"], "down", big), ["g"], ["down"], {"m": "upto"}).select("g", "down", (F.col("upto") - F.col("m")).alias("better"))
+    better = running_sums(value_blocks(levels, ["g"], "down", big)[0], ["g"], ["down"], {"m": "upto"}).select("g", "down", (F.col("upto") - F.col("m")).alias("better"))
     numeric = isinstance(scored.schema["i"].dataType, T.NumericType)  # only numbers have quantiles to split at
-    tied = value_blocks(scored, ["g", "down"], "i", big) if numeric else scored.withColumn("block", F.lit(0))
+    tied = value_blocks(scored, ["g", "down"], "i", big)[0] if numeric else scored.withColumn("block", F.lit(0))
     final = running_sums(tied, ["g", "down"], ["i"], {"one": "place"}).join(better, ["g", "down"]).withColumn("position", F.col("better") + F.col("place"))
     return final.select(F.col("g").alias(group), F.col("i").alias(item), *[F.col(f"w{k}").alias(f"flow_{c}") for k, c in enumerate(names)], F.col("net").alias("net_flow"), "position")

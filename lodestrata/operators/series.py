@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lodestrata.plans.ranking import running_sums, value_blocks
+from lodestrata.plans.lineage import cut
+from lodestrata.plans.ranking import BIG_GROUP, null_safe_join, running_sums, value_blocks
 
 SECONDS = {"1m": 60, "5m": 300, "15m": 900, "1h": 3600, "1d": 86_400, "1w": 604_800}
 
@@ -29,11 +30,14 @@ def bucket_start(ts: Column, size_s: int, origin_s: int = 0) -> Column:
 def ranked_places(points: DataFrame, by: Sequence[str], places: dict[str, Column]) -> DataFrame:
     """Elements of each group's sorted values: ``by`` and one column per place, an index from 0 that may use the count ``n``.
 
-    Values are counted before they are ranked, so that no task holds a list of them.
+    Values are counted before they are ranked, and groups of very many different values, as without ``by``, are ranked in blocks, so
+    that no task holds a list of them.
     """
-    counted = points.where("value is not null").groupBy(*by, "value").agg(F.count("*").alias("m"))
-    order = W.partitionBy(*by).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    ranked = counted.select(*by, "value", F.sum("m").over(order).alias("upto"), F.sum("m").over(W.partitionBy(*by)).alias("n"))
+    counted = points.where("value is not null").select(*by, F.lit(0).alias("_all"), "value").groupBy(*by, "_all", "value").agg(F.count("*").alias("m"))
+    keys = [*by, "_all"]
+    blocked, split = value_blocks(cut(counted), keys, "value")
+    ranked = running_sums(blocked, keys, ["value"], {"m": "upto"}, split)
+    ranked = null_safe_join(ranked, blocked.groupBy(*keys).agg(F.sum("m").alias("n")), keys)
     return ranked.groupBy(*by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") > index, F.col("value"))).alias(name) for name, index in places.items()])
 
 
@@ -42,6 +46,14 @@ def floor_percentiles(points: DataFrame, by: Sequence[str], percents: dict[str,
     return ranked_places(points, by, {name: F.floor((F.col("n") - 1) * F.lit(float(p)) / 100) for name, p in percents.items()})
 
 
+def exact_percentiles(points: DataFrame, by: Sequence[str], shares: dict[str, float]) -> DataFrame:
+    """Percentiles of each group's values, between neighbours by a straight line, as ``percentile`` has them, but without a map of a group's values."""
+    index = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in shares.items()}
+    ends = ranked_places(points, by, {f"{name}_{side}": f(i) for name, i in index.items() for side, f in (("a", F.floor), ("b", F.ceil))})
+    value = lambda name, i: F.col(f"{name}_a") + (F.col(f"{name}_b") - F.col(f"{name}_a")) * (i - F.floor(i))
+    return ends.select(*by, *[value(name, i).alias(name) for name, i in index.items()])
+
+
 _FUNCTIONS = {
     "sum": lambda v: F.sum(v),
     "avg": lambda v: F.avg(v),
@@ -77,8 +89,17 @@ def downsample(points: DataFrame, source: str, target: str, by: Sequence[str] =
 
 
 def build_rollups(points: DataFrame, size_s: int, by: Sequence[str]) -> DataFrame:
-    """Materialised windows [start, end): ``by, window_start, window_end, sum, min, max, count, p95, p99, needs_invalidation``."""
-    grouped = bucket_aggregate(points, size_s, ["sum", "min", "max", "count", "p95", "p99"], by)
+    """Materialised windows [start, end): ``by, window_start, window_end, sum, min, max, count, p95, p99, needs_invalidation``.
+
+    Percentiles are exact at every size: where a window holds more than BIG_GROUP points, they are ranked in blocks.
+    """
+    grouped = bucket_aggregate(points, size_s, ["sum", "min", "max", "count"], by)
+    if (grouped.agg(F.max("count")).first()[0] or 0) <= BIG_GROUP:
+        grouped = bucket_aggregate(points, size_s, ["sum", "min", "max", "count", "p95", "p99"], by)
+    else:
+        keys = [*by, "bucket"]
+        timed = points.where("ts is not null").withColumn("bucket", bucket_start(F.col("ts"), size_s))
+        grouped = null_safe_join(grouped, exact_percentiles(timed, keys, {"p95": 0.95, "p99": 0.99}), keys, "left")
     return grouped.select(*by, F.col("bucket").alias("window_start"), (F.col("bucket") + size_s).alias("window_end"), "sum", "min", "max", "count", "p95", "p99", F.lit(False).alias("needs_invalidation"))
 
 
@@ -183,4 +204,5 @@ def retention_counts(points: DataFrame, now: Column, raw_days: int = 7, archive_
 def numbered(points: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``points``, cut or cheap to read, with ``i``, from 1 in ``order`` within a group; long series are numbered in blocks of time."""
     rows = points.withColumn("_t", F.unix_micros(F.col(order[0]).cast("timestamp")).cast("double")).withColumn("_one", F.lit(1).cast("long"))
-    return running_sums(value_blocks(rows, by, "_t"), by, order, {"_one": "i"}).drop("_t", "_one", "block")
+    blocked, split = value_blocks(rows, by, "_t")
+    return running_sums(blocked, by, order, {"_one": "i"}, split).drop("_t", "_one", "block")

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestrata.plans.ranking import BIG_GROUP, null_safe_join, value_blocks
+
 ENTITY = ("entity_ns", "entity_id")
 
 
@@ -35,16 +37,27 @@ def multi_as_of(changes: DataFrame, entities: DataFrame, at: Column) -> DataFram
     return entities.join(found, list(ENTITY), "left")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str = "ts", seq: str = "seq") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str = "ts", seq: str = "seq", big: int = BIG_GROUP) -> DataFrame:
     """``left`` with, as struct ``match``, the last row of ``right`` of the same ``by`` up to the row's time.
 
-    Both sides are sorted together once and the last row seen is carried forward, instead of an inequality join.
+    Both sides are sorted together once and the last row seen is carried forward, instead of an inequality join. A key of very many
+    rows is sorted in blocks of time, and the last row of the blocks before is carried into each. Rows of ``right`` without time
+    match nothing, rows of ``left`` without time have no match.
     """
     rows = [c for c in right.columns if c not in by]
+    theirs = right.where(F.col(ts).isNotNull())
     a = left.select(*by, F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_s"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*rows).alias("x")).schema[0].dataType).alias("_r"))
-    b = right.select(*by, F.col(ts).alias("_t"), F.lit(0).alias("_side"), (-F.col(seq)).cast("long").alias("_s"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema[0].dataType).alias("_l"), F.struct(*rows).alias("_r"))
-    order = W.partitionBy(*by).orderBy("_t", "_side", "_s").rowsBetween(W.unboundedPreceding, 0)
-    carried = a.unionByName(b).withColumn("match", F.last("_r", ignorenulls=True).over(order))
+    b = theirs.select(*by, F.col(ts).alias("_t"), F.lit(0).alias("_side"), (-F.col(seq)).cast("long").alias("_s"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema[0].dataType).alias("_l"), F.struct(*rows).alias("_r"))
+    timed = left.schema[ts].dataType.typeName().startswith("timestamp")
+    both = a.unionByName(b).withColumn("_x", (F.unix_micros(F.col("_t").cast("timestamp")) if timed else F.col("_t")).cast("double"))
+    blocked, split = value_blocks(both, by, "_x", big)
+    keys = [*by, "block"]
+    order = W.partitionBy(*(keys if split else by)).orderBy("_t", "_side", "_s").rowsBetween(W.unboundedPreceding, 0)
+    carried = blocked.withColumn("match", F.last("_r", ignorenulls=True).over(order))
+    if split:
+        before = W.partitionBy(*by).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+        ends = blocked.groupBy(*keys).agg(F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_t", "_s"))).alias("_last")).withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).drop("_last")
+        carried = null_safe_join(carried, ends, keys).withColumn("match", F.coalesce("match", "_carry"))
     return carried.where("_side = 1").select(*[F.col(f"_l.{c}").alias(c) for c in left.columns], "match")
 
 
