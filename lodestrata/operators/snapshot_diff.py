@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestrata.functions.jsonstate import state_hash
+from lodestrata.plans.bounded import broadcast_if_bounded
+from lodestrata.plans.lineage import cut
 
 
 def neighbouring_changes(
@@ -20,7 +22,8 @@ def neighbouring_changes(
     """The records added, removed and changed in each delivery against the nearest earlier one that is present.
 
     Each row stands once as the newer side of its own delivery and once as the older side of the next; one shuffle groups
-    by delivery and key, after a map-side merge, and the counts and hashes of both sides classify the record. Columns:
+    by delivery and key, after a map-side merge, and the hashes of both sides classify the record. The list of deliveries, made in a
+    scan of that column alone, is broadcast if it is short, as it is but for hundreds of thousands of deliveries. Columns:
     the number, the keys and ``change_kind`` (``added``, ``removed``, ``changed``), with ``keep_state`` also ``old_state`` and
     ``new_state``.
 
@@ -38,9 +41,9 @@ def neighbouring_changes(
             *([deliveries[state].alias("state")] if keep_state else []),
         ).alias("row"),
     ).where("no is not null")
-    # As many rows as deliveries; the plan's own size estimate decides how the join is done.
-    following = narrow.select("no").distinct().select("no", F.lead("no").over(W.orderBy("no")).alias("next"), F.lag("no").over(W.orderBy("no")).alias("before"))
-    both = narrow.join(following, "no").select(
+    # As many rows as deliveries. Joined by a shuffle, each delivery would be one task's, and all rows would move twice.
+    following = cut(narrow.select("no").distinct()).select("no", F.lead("no").over(W.orderBy("no")).alias("next"), F.lag("no").over(W.orderBy("no")).alias("before"))
+    both = narrow.join(broadcast_if_bounded(following), "no").select(
         F.explode(
             F.array(
                 F.when(F.col("before").isNotNull(), F.struct(F.col("no").alias("at"), F.lit(True).alias("newer"))),
