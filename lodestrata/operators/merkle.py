@@ -8,11 +8,20 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestrata.functions.jsonstate import state_hash
 from lodestrata.plans.lineage import cut
+from lodestrata.plans.ranking import BIG_GROUP, value_blocks
 
-#: A node of the tree has 2**FAN_BITS children; a tree has 2**(FAN_BITS * DEPTH) leaf buckets.
-FAN_BITS, DEPTH = 4, 4
-#: Versions of one key that stand in one block when its captures are numbered.
-BLOCK = 512
+#: A node of the tree has 2**FAN_BITS children; a leaf bucket has about LEAF_KEYS keys, within the limits of the depth.
+FAN_BITS, LEAF_KEYS, DEPTHS = 4, 16, (2, 8)
+#: Captures of one key beyond which its chain is taken in blocks.
+BIG = BIG_GROUP
+
+
+def depth_for(keys: int) -> int:
+    """The depth of a tree over so many keys: were it fixed, a leaf of a large table would hold so many keys that all leaves differ."""
+    depth = DEPTHS[0]
+    while depth < DEPTHS[1] and keys > LEAF_KEYS << (FAN_BITS * depth):
+        depth += 1
+    return depth
 
 
 def _leaf(key: Column, depth: int) -> Column:
@@ -24,7 +33,7 @@ def _up(bucket: Column, levels: int) -> Column:
     return F.shiftrightunsigned(bucket, FAN_BITS * levels)
 
 
-def differing_leaves(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+def differing_leaves(rows: DataFrame, depth: int) -> DataFrame:
     """The leaf buckets (``at, leaf``) in which two snapshots differ, for any number of comparisons at once.
 
     ``rows`` has ``at`` (the comparison), ``newer`` (the side), ``key``, ``hash``; within a side keys are unique. Leaf digests are
@@ -52,7 +61,7 @@ def differing_leaves(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     return open_nodes.withColumnRenamed("node", "leaf")
 
 
-def diff_rows(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+def diff_rows(rows: DataFrame, depth: int) -> DataFrame:
     """``at, key, old, new`` of the keys that differ between the sides of a comparison, read from differing leaf buckets only.
 
     ``old`` and ``new`` are the structs in the column ``row``, null where the side lacks the key.
@@ -67,13 +76,14 @@ def diff_rows(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     return sides.where(~F.col("old.hash").eqNullSafe(F.col("new.hash"))).select("at", "key", F.col("old.row").alias("old"), F.col("new.row").alias("new"))
 
 
-def append_snapshot(history: DataFrame, previous: DataFrame, current: DataFrame, at: Column, depth: int = DEPTH) -> DataFrame:
+def append_snapshot(history: DataFrame, previous: DataFrame, current: DataFrame, at: Column, depth: int | None = None) -> DataFrame:
     """``history`` with what ``current``, a full snapshot taken ``at``, brings against the snapshot ``previous``.
 
     Snapshots have ``key`` and ``state``; ``history`` has ``key, state, valid_from, valid_to``. A key's open version is closed where its
     state changed or it disappeared; a new version is opened where it changed or appeared. Keys are unique in a snapshot and
-    compare as values; null states are states.
+    compare as values; null states are states. The tree is as deep as the number of keys asks for, if ``depth`` isn't given.
     """
+    depth = depth_for(current.count()) if depth is None else depth
     side = lambda df, newer: df.select(F.lit(0).alias("at"), F.lit(newer).alias("newer"), df["key"], state_hash(df["state"]).alias("hash"), F.struct(df["state"]).alias("row"))
     changed = diff_rows(side(previous, False).unionByName(side(current, True)), depth)
     closed = changed.where("old is not null").select("key", F.lit(True).alias("closes"))
@@ -84,19 +94,29 @@ def append_snapshot(history: DataFrame, previous: DataFrame, current: DataFrame,
     return kept.unionByName(opened)
 
 
-def _rounds(captures: DataFrame) -> DataFrame:
-    """``captures`` (``key, version`` unique) with ``round``, the capture's place in its key's order, and ``final``.
+def _chains(rows: DataFrame, key: str, version: str, most: int) -> tuple[DataFrame, list[str], bool]:
+    """``rows`` with ``block``, the columns that hold a window over a stretch of a key's chain, and whether chains have several.
 
-    Numbered in two steps, block of versions by block, so that no task holds all captures of a busy key: within a block by
-    a window, and by the running size of the blocks before it.
+    ``most`` bounds the rows of a key. Up to BIG they are one window's; longer chains are cut at quantiles of their versions, however these
+    are spread, and ``rows`` is cut before.
     """
-    blocked = captures.withColumn("block", F.floor(F.col("version") / BLOCK))
+    if most <= BIG:
+        return rows.withColumn("block", F.lit(0)), [key], False
+    blocked, split = value_blocks(cut(rows), [key], version, BIG)
+    return blocked, [key, "block"], split
+
+
+def _rounds(captures: DataFrame, most: int) -> DataFrame:
+    """``captures`` (``key, version`` unique) with ``round``, the capture's place in its key's order, and ``final``."""
+    blocked, within, split = _chains(captures, "key", "version", most)
+    inside = W.partitionBy(*within).orderBy("version")
+    numbered = blocked.withColumn("round", F.row_number().over(inside).cast("long")).withColumn("final", F.lead("version").over(inside).isNull())
+    if not split:
+        return numbered.drop("block")
     sizes = blocked.groupBy("key", "block").agg(F.count("*").alias("size"))
-    before = W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("key", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.lead("block").over(W.partitionBy("key").orderBy("block")).isNull().alias("closing"))
-    inside = W.partitionBy("key", "block").orderBy("version")
-    numbered = blocked.withColumn("i", F.row_number().over(inside)).withColumn("ends", F.lead("version").over(inside).isNull())
-    return numbered.join(starts, ["key", "block"]).withColumn("round", F.col("start") + F.col("i")).withColumn("final", F.col("ends") & F.col("closing")).drop("block", "i", "ends", "start", "closing")
+    along = W.partitionBy("key").orderBy("block")
+    starts = sizes.select("key", "block", F.coalesce(F.sum("size").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"), F.lead("block").over(along).isNull().alias("closing"))
+    return numbered.join(starts, ["key", "block"]).withColumn("round", F.col("start") + F.col("round")).withColumn("final", F.col("final") & F.col("closing")).drop("block", "start", "closing")
 
 
 def changed_versions(
@@ -107,7 +127,7 @@ def changed_versions(
     state: str = "state_data",
     received: str = "received_at",
     branch: str | None = "branch_id",
-    depth: int = DEPTH,
+    depth: int | None = None,
     keep_state: bool = True,
 ) -> DataFrame:
     """Each version of a key whose state differs from the version before it: the keys, ``version, ts`` and, if kept, ``state``.
@@ -117,7 +137,8 @@ def changed_versions(
 
     Only rows with a null branch count (any, if ``branch`` is None), and only rows with a version. Of several rows of one key and
     version the one received last holds, of equal ones that with the greatest hash, time and text. Keys with null parts are
-    keys; null states equal only null states; versions may have gaps. An empty table gives an empty result.
+    keys; null states equal only null states; versions may have gaps. An empty table gives an empty result. A first count gives the
+    number of keys, which sets the depth of the trees if ``depth`` doesn't, and the length of the longest chain.
     """
     main = captures if branch is None else captures.where(captures[branch].isNull())
     rows = main.select(
@@ -125,15 +146,18 @@ def changed_versions(
         main[version].alias("version"),
         F.struct(main[received].alias("received"), state_hash(main[state]).alias("hash"), main[ts].alias("ts"), (main[state] if keep_state else F.lit(None).cast("string")).alias("state")).alias("row"),
     ).where("version is not null")
+    count = main.groupBy(*[main[k] for k in keys]).count().agg(F.count("*").alias("keys"), F.max("count").alias("most")).first()
+    if (count["most"] or 0) <= BIG:
+        rows = rows.repartition("key")  # both steps that follow then find a key's rows in place
     once = rows.groupBy("key", "version").agg(F.max("row").alias("row")).select("key", "version", F.col("row.hash").alias("hash"), F.struct("version", "row.ts", "row.state").alias("row"))
     # Read twice, by the trees and by the rows of differing leaves; cut, as parsing the states is what costs.
-    rounds = cut(_rounds(once))
+    rounds = cut(_rounds(once, count["most"] or 0))
     # A capture is the newer side of its own round and, unless it is the last, the older side of the next.
     sides = rounds.select(
         F.explode(F.array(F.struct(F.col("round").alias("at"), F.lit(True).alias("newer")), F.when(~F.col("final"), F.struct((F.col("round") + 1).alias("at"), F.lit(False).alias("newer"))))).alias("side"),
         "key", "hash", "row",
     ).where("side is not null").select("side.at", "side.newer", "key", "hash", "row")
-    return diff_rows(sides, depth).where("new is not null").select(
+    return diff_rows(sides, depth_for(count["keys"]) if depth is None else depth).where("new is not null").select(
         *[F.col(f"key.k{i}").alias(k) for i, k in enumerate(keys)], F.col("new.version").alias(version), F.col("new.ts").alias(ts), *([F.col("new.state").alias(state)] if keep_state else [])
     )
 
@@ -143,14 +167,19 @@ def validity(changes: DataFrame, keys: Sequence[str] = ("entity_namespace", "ent
 
     Where clocks disagree with versions, a version begins at the greatest time of the versions up to it, so that periods never
     overlap; a version that a later one overtook in the same instant has an empty period. A null time leaves the
-    beginning to the versions before. A key's versions are unique; they are taken in blocks, so that no task holds a busy key.
+    beginning to the versions before. A key's versions are unique; a busy key's are taken in blocks.
     """
-    rows = changes.select(F.struct(*keys).alias("_key"), F.col(version).alias("_v"), F.col(ts).alias("_t"), F.struct(*changes.columns).alias("_row")).withColumn("_b", F.floor(F.col("_v") / BLOCK))
-    along = W.partitionBy("_key").orderBy("_b")
-    ends = rows.groupBy("_key", "_b").agg(F.max("_t").alias("top"), F.min_by("_t", "_v").alias("first")).withColumn("before", F.max("top").over(along.rowsBetween(W.unboundedPreceding, -1)))
-    ends = ends.withColumn("begun", F.greatest("first", "before")).select("_key", "_b", "before", F.lead("begun").over(along).alias("next"), F.lead("_b").over(along).isNull().alias("closing"))
-    inside = W.partitionBy("_key", "_b").orderBy("_v")
-    from_ = F.greatest(F.max("_t").over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("before"))
-    begun = rows.join(ends, ["_key", "_b"]).withColumn("valid_from", from_).withColumn("_ends", F.lead("_v").over(inside).isNull())
+    rows = cut(changes.select(F.struct(*keys).alias("_key"), F.col(version).alias("_v"), F.col(ts).alias("_t"), F.struct(*changes.columns).alias("_row")))
+    most = rows.groupBy("_key").count().agg(F.max("count")).first()[0] or 0
+    blocked, within, split = _chains(rows, "_key", "_v", most)
+    inside = W.partitionBy(*within).orderBy("_v")
+    from_ = F.max("_t").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    if not split:
+        begun = blocked.withColumn("valid_from", from_)
+        return begun.select("_row.*", "valid_from", F.lead("valid_from").over(inside).alias("valid_to"), F.lead("_v").over(inside).isNull().alias("is_current"))
+    along = W.partitionBy("_key").orderBy("block")
+    ends = blocked.groupBy("_key", "block").agg(F.max("_t").alias("top"), F.min_by("_t", "_v").alias("first")).withColumn("before", F.max("top").over(along.rowsBetween(W.unboundedPreceding, -1)))
+    ends = ends.withColumn("begun", F.greatest("first", "before")).select("_key", "block", "before", F.lead("begun").over(along).alias("next"), F.lead("block").over(along).isNull().alias("closing"))
+    begun = blocked.join(ends, ["_key", "block"]).withColumn("valid_from", F.greatest(from_, F.col("before"))).withColumn("_ends", F.lead("_v").over(inside).isNull())
     until = F.when(F.col("_ends"), F.col("next")).otherwise(F.lead("valid_from").over(inside))
     return begun.withColumn("valid_to", until).select("_row.*", "valid_from", "valid_to", (F.col("_ends") & F.col("closing")).alias("is_current"))

@@ -34,6 +34,10 @@ def test_canonical_json(spark):
     df = spark.createDataFrame([(a, b) for a, b in same + different], "a string, b string")
     got = [r[0] for r in df.select(canonical_json(F.col("a")) == canonical_json(F.col("b"))).collect()]
     assert got == [True] * len(same) + [False] * len(different)
+    # Read once: neither many whole floats nor long strings and digits cost more than their length.
+    long = [(k, "[" + ",".join([f"{k}.0", '"a\\"1.0,"', "1.50", "2.0e1", "-7.00"] * 40_000) + "]") for k in (3, 4)] + [(5, '["' + "x1.0," * 100_000), (6, "9" * 100_000)]
+    texts = {r.k: r.c for r in spark.createDataFrame(long, "k int, t string").select("k", canonical_json(F.col("t")).alias("c")).collect()}
+    assert texts[3].startswith('j[3.0,"a\\"1.0,",1.5,20.0,-7.0,3.0') and texts[3] != texts[4] and texts[5] == "t" + long[2][1]
     assert spark.createDataFrame([(None,)], "a string").select(canonical_json(F.col("a"))).first()[0] is None
 
 
@@ -88,10 +92,10 @@ def styled(rng, value):
     return json.dumps({k: value[k] for k in keys}, separators=rng.choice([(",", ":"), (", ", ": ")]), ensure_ascii=rng.random() < 0.5)
 
 
-@pytest.mark.parametrize("block", [2, 512])
-def test_history(spark, monkeypatch, block):
-    monkeypatch.setattr(merkle, "BLOCK", block)
-    rng = random.Random(block)
+@pytest.mark.parametrize("big", [2, 512])
+def test_history(spark, monkeypatch, big):
+    monkeypatch.setattr(merkle, "BIG", big)
+    rng = random.Random(big)
     rows, truth = [], {}
     for e in range(30):
         key, state = (rng.choice(["n", None]), f"e{e}" if e else None), {"a": 1, "t": "é"}
@@ -128,6 +132,21 @@ def test_history(spark, monkeypatch, block):
     assert changed_versions(df.limit(0)).collect() == []
 
 
+def test_busy_key_of_sparse_versions(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "BIG", 50)
+    rows = [("n", "hot", v * 10**6, ts(v), str(v // 3), ts(0), None, "k", 1, 2, "h") for v in range(300)] + [("n", f"e{k}", 5, ts(0), "1", ts(0), None, "k", 1, 2, "h") for k in range(20)]
+    df = spark.createDataFrame(rows, CAPTURES)
+    blocked, within, split = merkle._chains(df.selectExpr("entity_local_id AS e", "version"), "e", "version", 300)
+    assert split and blocked.groupBy(*within).count().agg(F.max("count")).first()[0] <= 50
+    periods = validity(changed_versions(df)).collect()
+    assert {r.version for r in periods if r.entity_local_id == "hot"} == {v * 10**6 for v in range(0, 300, 3)} and len(periods) == 120
+    assert all(r.valid_to == (ts(r.version // 10**6 + 3) if r.version < 297 * 10**6 else None) for r in periods if r.entity_local_id == "hot")
+
+
+def test_depth():
+    assert [merkle.depth_for(n) for n in (0, 100, 4096, 4097, 10**5, 10**9, 10**15)] == [2, 2, 2, 3, 4, 7, 8]
+
+
 def test_append_snapshot(spark):
     snap = lambda rows: spark.createDataFrame(rows, "key string, state string, valid_from int")
     day = lambda n: F.lit(ts(86400 * n)).cast("timestamp")
@@ -161,6 +180,13 @@ def test_deliveries(spark):
     assert {tuple(r) for r in neighbouring_changes(df).collect()} == want
     kept = neighbouring_changes(df, keep_state=True).collect()
     assert len(kept) == len(want) and all(r.old_state is None for r in kept if r.change_kind == "added")
+    wide = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:  # the table is shuffled once, whatever the optimizer believes of sizes
+        plan = neighbouring_changes(df)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", wide)
     assert neighbouring_changes(df.limit(0)).collect() == [] and neighbouring_changes(df.where("delivery_no = 1")).collect() == []
 
 
@@ -313,3 +339,28 @@ def test_net_flow(spark, monkeypatch, big):
     for k in want:
         assert got[k][0] == pytest.approx(want[k][0], abs=1e-9) and got[k][1] == want[k][1], k
     assert net_flow(df.limit(0), {"confidence": 1, "recency": 1}).collect() == []
+
+
+@pytest.mark.parametrize("big", [5, 100_000])
+def test_net_flow_of_text_ids(spark, monkeypatch, big):
+    monkeypatch.setattr(outranking, "CHUNK", 16)
+    rng = random.Random(2)
+    rows = [(g, f"item-{i:03d}-é", (rng.choice([0.1, 0.2, 0.3]),)) for g in ("a", "b", "c", "d") for i in rng.sample(range(300), rng.choice([1, 30, 60]))]
+    df = spark.createDataFrame([(g, i, *v) for g, i, v in rows], "query_id string, result_id string, confidence float")
+    got = {(r.query_id, r.result_id): r.position for r in net_flow(df, {"confidence": 1}, latest=None, big=big).collect()}
+    assert got == {k: v[1] for k, v in flow_truth(rows, ["confidence"], outranking.INDIFFERENT, outranking.PREFERRED).items()}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 25), st.sampled_from([(0.02, 0.3), (0.0, 1.0), (0.5, 3.0)]))
+def test_group_flows(seed, n, limits):
+    rng = random.Random(seed)
+    group = np.sort(np.array([rng.randrange(3) for _ in range(n)], np.int64))
+    group = np.unique(group, return_inverse=True)[1] if n else group
+    values = np.array([rng.choice([float("nan"), 1.0, 2.0, rng.random()]) for _ in range(n)])
+    flows = outranking.group_flows(group, values, *limits)
+    rows = [(int(g), i, (float(v),)) for i, (g, v) in enumerate(zip(group, values))]
+    want = flow_truth(rows, ["x"], *limits)
+    for g, i, _ in rows:
+        others = max(1, int((group == g).sum()) - 1)
+        assert flows[i] / others == pytest.approx(want[g, i][0], abs=1e-9)
