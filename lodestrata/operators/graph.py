@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 from lodestrata.plans.lineage import cut
 
 
+#: Hops after which what was seen is written anew.
+REWRITE = 16
+
+
 def outgoing(edges: DataFrame, node) -> DataFrame:
     return edges.where(F.col("src") == node)
 
@@ -73,8 +77,10 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = No
         if not hits.isEmpty():
             done = cut(done.unionByName(hits))
             open_goals = cut(open_goals.join(hits.select("src", "dst"), ["src", "dst"], "left_anti"))
-        # Long searches: neither plans nor partitions grow with the hops.
-        seen = cut(seen.unionByName(frontier.select("src", "node")).repartition("src", "node"))
+        # Frontiers are added as they are; only now and then are they written as one, so that neither plans nor partitions grow with the hops.
+        seen = seen.unionByName(frontier.select("src", "node"))
+        if hop % REWRITE == 0:
+            seen = cut(seen.repartition("src", "node"))
         frontier = frontier.join(open_goals.select("src").distinct(), "src", "left_semi")
         if frontier.isEmpty():
             break
