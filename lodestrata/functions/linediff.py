@@ -37,3 +37,13 @@ def line_diff(old: Column, new: Column) -> Column:
         return pd.Series([hunks_of(x, y) for x, y in zip(a, b)])
 
     return run(old, new)
+
+
+def restores(old: Column, hunks: Column, new: Column) -> Column:
+    """Whether the hunks turn the lines of ``old`` into those of ``new``."""
+
+    @pandas_udf("boolean")
+    def run(a: pd.Series, h: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([patched(x, list(y)) == (z or "").splitlines() for x, y, z in zip(a, h, b)])
+
+    return run(old, hunks, new)

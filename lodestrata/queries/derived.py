@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lodestrata.functions import ids
-from lodestrata.functions.linediff import line_diff
+from lodestrata.functions.linediff import line_diff, restores
 from lodestrata.operators import derived
 from lodestrata.operators.hierarchy import hierarchies, number_key, key_number
 from lodestrata.queries.registry import Registry
@@ -27,12 +27,26 @@ def topic_parents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "event_types").select(F.col("type_name").alias("path"), ids.topic_parent(F.col("type_name")).alias("parent"))
 
 
-@Q("line_diff")
+# SQL knows by how many lines two texts differ, and that the hunks must turn one into the other. Lines end as Python's do.
+_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def _lines(text: str) -> str:
+    return f"(len(regexp_extract_all(coalesce({text}, ''), '{_ENDS}')) + CASE WHEN coalesce({text}, '') = '' OR regexp_matches({text}, '({_ENDS})$') THEN 0 ELSE 1 END)"
+
+
+@Q(
+    "line_diff",
+    f"""WITH p AS (SELECT doc_id, text, lag(text) OVER (PARTITION BY source ORDER BY created_at NULLS FIRST, doc_id) AS old FROM documents)
+    SELECT doc_id, CAST({_lines("text")} - {_lines("old")} AS BIGINT) AS net_lines, TRUE AS restored FROM p""",
+)
 def line_differences(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document against the one of its source that was made before it."""
+    """Each document against the one of its source that was made before it: the lines that the hunks add, and whether they turn one into the other."""
     order = W.partitionBy("source").orderBy("created_at", "doc_id")
     pairs = table(spark, sf, "documents").select("doc_id", "text", F.lag("text").over(order).alias("old"))
-    return pairs.select("doc_id", F.explode(line_diff(F.col("old"), F.col("text"))).alias("h")).select("doc_id", "h.start_line", "h.lines_removed", "h.lines_added")
+    hunks = pairs.withColumn("h", line_diff(F.col("old"), F.col("text")))
+    net = F.aggregate("h", F.lit(0).cast("long"), lambda n, h: n + h["lines_added"] - h["lines_removed"])
+    return hunks.select("doc_id", net.alias("net_lines"), restores(F.col("old"), F.col("h"), F.col("text")).alias("restored"))
 
 
 @Q(

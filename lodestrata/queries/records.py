@@ -345,12 +345,24 @@ def pii_redact_all(spark: SparkSession, sf: str) -> DataFrame:
     return clean.select("doc_id", F.md5("x.text").alias("digest"), F.col("x.count").cast("long").alias("redactions"))
 
 
-@Q("extract_imports")
+# The tables' code names no imports, so each text is led by the lines that would import its source and its actor.
+_IMPORTING = "'import \"' || coalesce(source, 'none') || '.zig\"' || chr(10) || '  use actor' || chr(9) || ';' || chr(10) || 'from a' || coalesce(actor_id, 0) || ' x' || chr(10) || text"
+
+
+@Q(
+    "extract_imports",
+    f"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split({_IMPORTING}, chr(10))), '^[ \t\r]+|[ \t\r]+$', '', 'g') AS line FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, CASE WHEN regexp_matches(line, '["''<][^"''>]+["''>]') THEN regexp_extract(line, '["''<]([^"''>]+)["''>]', 1) ELSE regexp_extract(line, '^[^ \t\r\v\f]+[ \t\r\v\f]+([^ \t\r\v\f;]+)', 1) END AS path
+          FROM l WHERE {" OR ".join(f"starts_with(line, '{k}')" for k in textscan.IMPORTS)})
+    SELECT doc_id, path FROM p WHERE path <> ''""",
+)
 def extract_imports(spark: SparkSession, sf: str) -> DataFrame:
-    return _texts(spark, sf).select("doc_id", F.explode(textscan.imports(F.col("text"))).alias("path"))
+    docs = table(spark, sf, "documents").where("text is not null")
+    code = F.concat(F.lit('import "'), F.coalesce("source", F.lit("none")), F.lit('.zig"\n  use actor\t;\nfrom a'), F.coalesce("actor_id", F.lit(0)).cast("string"), F.lit(" x\n"), F.col("text"))
+    return docs.select("doc_id", F.explode(textscan.imports(code)).alias("path"))
 
 
-@Q("extract_calls")
+@Q("extract_calls", f"SELECT doc_id, name FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([^ \t\n=()]{{2,}})\\(', 1)) AS name FROM documents WHERE text IS NOT NULL) WHERE name NOT IN ({', '.join(repr(k) for k in textscan.KEYWORDS)})")
 def extract_calls(spark: SparkSession, sf: str) -> DataFrame:
     return _texts(spark, sf).select("doc_id", F.explode(textscan.calls(F.col("text"))).alias("name"))
 

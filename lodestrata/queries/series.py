@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestrata.operators import anomaly, series, temporal
 from lodestrata.operators.snapshot_diff import neighbouring_changes
+from lodestrata.plans import nl
 from lodestrata.queries.registry import Registry
 from lodestrata.sources.tables import table
 
@@ -376,9 +377,20 @@ def anomaly_ksigma(spark: SparkSession, sf: str) -> DataFrame:
     return anomaly.ksigma_anomalies(points, anomaly.baseline(points, ["event_type"]), ["event_type"], 1.0).select("event_id", "kind", "severity", F.round("score", 5).alias("score"))
 
 
-@Q("anomaly_ema")
+# Value by value along each series: the average from the first value, and the one that begins after ten, with its deviation.
+_EMA = """WITH RECURSIVE r AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
+    two AS (SELECT event_id, event_type, value, i, 0.2::DOUBLE * value + 0.8::DOUBLE * value AS ema FROM r WHERE i = 1 AND n >= 10
+            UNION ALL SELECT r.event_id, r.event_type, r.value, r.i, 0.2::DOUBLE * r.value + 0.8::DOUBLE * t.ema FROM two t JOIN r ON r.event_type = t.event_type AND r.i = t.i + 1),
+    one AS (SELECT event_type, CAST(0 AS BIGINT) AS i, ema AS e, 0::DOUBLE AS v FROM two WHERE i = 10
+            UNION ALL SELECT r.event_type, r.i, 0.2::DOUBLE * r.value + 0.8::DOUBLE * o.e, 0.2::DOUBLE * pow(r.value - (0.2::DOUBLE * r.value + 0.8::DOUBLE * o.e), 2) + 0.8::DOUBLE * o.v
+            FROM one o JOIN r ON r.event_type = o.event_type AND r.i = o.i + 1),
+    sd AS (SELECT event_type, sqrt(arg_max(v, i)) AS sd FROM one GROUP BY 1)
+    SELECT event_id, event_type, round(ema, 5) AS ema, round(value - ema, 5) AS deviation FROM two JOIN sd USING (event_type) WHERE abs(value - ema) > {sigma} * sd"""
+
+
+@Q("anomaly_ema", _EMA.format(sigma=1.5))
 def anomaly_ema(spark: SparkSession, sf: str) -> DataFrame:
-    found = anomaly.ema_anomalies(points_of(spark, sf), ["event_type"], ["ts", "event_id"])
+    found = anomaly.ema_anomalies(points_of(spark, sf), ["event_type"], ["ts", "event_id"], sigma=1.5)
     return found.select("event_id", "event_type", F.round("ema", 5).alias("ema"), F.round("deviation", 5).alias("deviation"))
 
 
@@ -437,3 +449,22 @@ def perf_trend(spark: SparkSession, sf: str) -> DataFrame:
     samples, base = _samples(spark, sf)
     t = anomaly.recent_trend(samples, base.select("event_type", F.col("base_avg_latency").alias("base")), ["event_type"], "avg_latency", 5)
     return t.select("event_type", F.round("recent", 5).alias("recent"), F.round("change", 6).alias("change"))
+
+
+# --- questions ------------------------------------------------------------------------------------------------------------------------
+
+
+@Q("ask_average_per_type", "SELECT event_type AS per, round(avg(value), 6) AS answer FROM events WHERE value > 10 AND event_type IS DISTINCT FROM 'signup' AND ts >= TIMESTAMP '2024-01-05' GROUP BY 1")
+def ask_average_per_type(spark: SparkSession, sf: str) -> DataFrame:
+    asked = nl.answer("average of value in events where value over 10 and event_type is not signup since 2024-01-05 per event_type", {"events": points_of(spark, sf)})
+    return asked.withColumn("answer", F.round("answer", 6))
+
+
+@Q("ask_users_per_day", "SELECT date_trunc('day', ts) AS per, count(DISTINCT user_id) AS answer FROM events WHERE event_type = 'click' GROUP BY 1")
+def ask_users_per_day(spark: SparkSession, sf: str) -> DataFrame:
+    return nl.answer("distinct of user_id in events where event_type is click per day", {"events": points_of(spark, sf)}).withColumn("per", F.col("per").cast("timestamp_ntz"))
+
+
+@Q("ask_busiest_users", "SELECT user_id AS per, count(*) AS answer FROM events GROUP BY 1 ORDER BY answer DESC, per LIMIT 5")
+def ask_busiest_users(spark: SparkSession, sf: str) -> DataFrame:
+    return nl.answer("Count in events per user_id top 5?", {"events": points_of(spark, sf)})

@@ -64,9 +64,16 @@ def stream_late_data(spark: SparkSession, sf: str) -> DataFrame:
     return run.latest_per_key(late.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("events")), ["day"])
 
 
-@Q("stream_rate_limit")
+@Q(
+    "stream_rate_limit",
+    """WITH RECURSIVE r AS (SELECT event_type AS key, event_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+    b AS (SELECT key, event_id, i, sec AS last, TRUE AS allowed, 1::DOUBLE AS tokens FROM r WHERE i = 1
+          UNION ALL SELECT r.key, r.event_id, r.i, r.sec, full_ >= 1, full_ - CASE WHEN full_ >= 1 THEN 1 ELSE 0 END
+          FROM (SELECT x.*, least(2::DOUBLE, b.tokens + (x.sec - b.last) * (1::DOUBLE / 600::DOUBLE)) AS full_ FROM b JOIN r x ON x.key = b.key AND x.i = b.i + 1) r)
+    SELECT key, event_id, allowed FROM b""",
+)
 def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    return run.appended(stateful.rate_limited(_events(spark, sf), "event_type", 1 / 600, 2.0))
+    return run.appended(stateful.rate_limited(_events(spark, sf), "event_type", 1 / 600, 2.0)).select("key", "event_id", "allowed")
 
 
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY txn_id DESC, seq DESC) AS age FROM kv_commits WHERE key IS NOT NULL AND txn_id IS NOT NULL) WHERE age = 1 AND lower(trim(op)) = 'put'"

@@ -89,7 +89,7 @@ def test_outlier_guards(spark):
 
 @pytest.mark.parametrize("block", [7, 4096])
 def test_ema(spark, monkeypatch, block):
-    monkeypatch.setattr(anomaly, "EMA_BLOCK", block)
+    monkeypatch.setattr(anomaly, "RUN", block)
     rng = random.Random(4)
     values = [rng.gauss(10, 1) + (40 if i in (33, 70) else 0) for i in range(90)]
     ema = values[0]
@@ -160,9 +160,81 @@ def test_topics(spark):
     assert names(search.search_any(index, ["zig"])) == ["db.zig", "pager.zig"] and names(search.search_all(index, ["zig", "btree"])) == ["db.zig"]
     assert names(search.search(index, predicates.parse_topic_query("zig NOT btree"))) == ["pager.zig"]
     assert search.term_stats(index, 3).where("term = 'zig'").first().tf == 3
-    assert names(nl.run("show me zig", index)) == ["db.zig", "pager.zig"]
-    assert nl.convert("Why did agent X change Y?").kind == "review_explain" and nl.convert("find files about btree").entity_type == "file"
-    assert nl.plan("what depends on a") == "relationship_traversal" and nl.plan("entity with x") == "entity_lookup" and nl.plan("x") == "topic_search"
+
+
+def test_questions(spark):
+    rows = [(i, at(86400 * i), "ab"[i % 2], "x y" if i == 3 else None, float(i)) for i in range(10)]
+    sources = {"events": spark.createDataFrame(rows, "id int, ts timestamp_ntz, kind string, `note` string, value double")}
+    ask = lambda text: [tuple(r) for r in nl.answer(text, sources).collect()]
+    assert ask("count in events") == [(10,)] and ask("COUNT of note in Events?") == [(1,)]
+    assert sorted(ask("total of value in events where kind is a per KIND")) == [("a", 20.0)]
+    assert ask("greatest of value in events where value under 4.5 and id is not 4 before 2024-01-03") == [(1.0,)]
+    assert ask("list of id in events where note contains 'X Y'") == [(3,)] and ask("list of id in events since '2024-01-08 00:00:00' top 2") == [(9,), (8,)]
+    assert ask("count in events where id at least 2 and id at most 3 per week top 1") == [(at(0), 2)]
+    assert nl.read("average of 'in' in \"where\" top 3") == nl.Question("average", "where", "in", top=3)
+    for text in ("", "sum of x in events", "average in events", "count events", "count in nothing", "count in events where id is", "count in events per kind per kind", "count in events where id near 3", "count in events where id is many", "count in events top few", "count in events per size", "count in 'events"):
+        with pytest.raises(nl.Unclear):
+            nl.answer(text, sources)
+
+
+def test_ema_in_blocks(spark, monkeypatch):
+    rng = random.Random(1)
+    values = [rng.gauss(0, 1) for _ in range(300)] + [0.0] * 30
+    for keep in (0.8, 0.999, 1e-40, 0.0):
+        want, s = [], 0.0
+        for v in values:
+            s = v + keep * s
+            want.append(s)
+        for run_ in (7, 4096):
+            monkeypatch.setattr(anomaly, "RUN", run_)
+            df = spark.createDataFrame([(g, i + 1, v) for g in ("s", None) for i, v in enumerate(values)], "g string, i long, x double")
+            for r in anomaly.decayed_sums(df, ["g"], "i", "x", keep, "s", len(values)).collect():
+                assert r.s == pytest.approx(want[r.i - 1], rel=1e-9, abs=1e-12)
+    assert anomaly.ema_anomalies(points(spark, values).limit(0), ["g"], ["ts"]).collect() == []
+
+
+def test_long_series_in_many_tasks(spark):
+    n = 1_000_000
+    df = spark.range(n).selectExpr("'s' AS g", "id AS event_id", "timestamp_seconds(id) AS ts", "CAST(pmod(id * 7919, 1000) AS DOUBLE) + IF(id = 700000, 1e6, 0) AS value")
+    numbered = series.numbered(df, ["g"], ["ts", "event_id"])
+    assert numbered.where("i != event_id + 1").isEmpty()
+    found = anomaly.ema_anomalies(df, ["g"], ["ts", "event_id"], sigma=1000.0)
+    ema, last = 0.0, None
+    for k in range(n):
+        v = float(k * 7919 % 1000) + (1e6 if k == 700000 else 0)
+        ema = v if k == 0 else 0.2 * v + 0.8 * ema
+        last = ema if k == 700000 else last
+    assert [(r.event_id, r.ema) for r in found.collect()] == [(700000, pytest.approx(last))]
+    places = series.ranked_places(df, [], {"median": F.floor(F.col("n") / 2)}).first()
+    assert (places.n, places.median) == (n, 500.0)
+
+
+@pytest.mark.parametrize("big", [3, 10**6])
+def test_asof_join_in_blocks(spark, big):
+    rng = random.Random(big)
+    theirs = [(rng.choice(["a", "a", "b", None]), rng.choice([None, rng.randrange(40)]), k) for k in range(60)]
+    ours = [(rng.choice(["a", "a", "b", "c", None]), rng.choice([None, rng.randrange(45)]), k) for k in range(60)]
+    frame = lambda rows: spark.createDataFrame([(g, None if t is None else at(t), k) for g, t, k in rows], "g string, ts timestamp_ntz, seq long")
+    got = {r.seq: r.match and r.match.seq for r in temporal.asof_join(frame(ours), frame(theirs), ["g"], big=big).collect()}
+    for g, t, k in ours:
+        fit = [(x, -s, s) for h, x, s in theirs if h == g and x is not None and t is not None and x <= t]
+        assert got[k] == (max(fit)[2] if fit else None), (g, t, k)
+
+
+def test_places_and_rollups_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", None]), at(rng.randrange(7200)), rng.choice([None, float(rng.randrange(50)), rng.random()])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g string, ts timestamp_ntz, value double")
+    both = []
+    for big in (5, 10**6):
+        monkeypatch.setattr(series, "BIG_GROUP", big)
+        monkeypatch.setattr(series.value_blocks, "__defaults__", (big, 16))
+        places = {(r.g, r.n, r.a, r.b) for r in series.ranked_places(df, ["g"], {"a": F.floor(F.col("n") / 3), "b": F.col("n") - 1}).collect()}
+        for g, n, a, b in places:
+            values = sorted(v for h, _, v in rows if h == g and v is not None)
+            assert (n, a, b) == (len(values), values[n // 3], values[-1])
+        both.append(sorted((str(r.g), r.window_start, r["count"], round(r.p95, 9), round(r.p99, 9)) for r in series.build_rollups(df, 3600, ["g"]).collect()))
+    assert both[0] == both[1] and len(both[0]) == 4
 
 
 def test_graph(spark):
