@@ -1,29 +1,32 @@
-"""Evaluation items in training texts: a BM25 index of the items with block-max pruning, asked with every passage."""
+"""Evaluation items in training texts: a BM25 index of the items, asked with every passage by block-max WAND."""
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from lodestrata.plans.lineage import cut
+
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
-#: Items per block, whose weights are bounded together; items and words per index, which bound what is broadcast (some MB).
-BLOCK, INDEX_ITEMS, INDEX_WORDS = 8, 1024, 200_000
-#: Indexes that one pass over the texts asks; more items mean more passes.
-INDEXES_PER_PASS = 8
-#: Words of a passage at most; longer ones are read in overlapping windows.
-WINDOW = 64
+#: Items per block, whose weights are bounded together.
+BLOCK = 8
+#: Words of the items of one index (some 50 MB), and indexes that one scan of the texts asks.
+INDEX_WORDS, INDEXES_PER_SCAN = 2_000_000, 4
+#: Numbers that a step holds at once.
+CELLS = 4_000_000
 #: Sums of 32-bit weights may fall short of the exact sum by this.
 SLACK = 1e-4
 
 words_of = re.compile("[a-z0-9]+").findall
+_SPACED = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 
 
 def words(text: str | None) -> list[str]:
@@ -31,169 +34,226 @@ def words(text: str | None) -> list[str]:
     return words_of(text.lower()) if text else []
 
 
+def byte_words(text: str | None) -> list[bytes]:
+    """:func:`words` as bytes, faster: what isn't ASCII becomes a question mark, which separates like all else."""
+    return text.lower().encode("ascii", "replace").translate(_SPACED).split() if text else []
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``first[k], first[k] + 1, ...``, ``size[k]`` numbers each, and the k of each."""
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) - (np.cumsum(size) - size)[of] + first[of], of
+
+
+def _chunks(n: int, width: int) -> Iterator[slice]:
+    step = max(1, CELLS // max(1, width))
+    for k in range(0, n, step):
+        yield slice(k, min(n, k + step))
+
+
 class ItemIndex:
-    """An inverted index of items, made for one question: which items can share ``run`` consecutive words with a passage?
+    """An inverted index of items for one question: which items can share ``run`` consecutive words with a passage?
 
     A word's BM25 weight in an item is divided by the item's threshold: the least score that a passage holding one of the item's
     word runs can have. So 1 is the threshold of every item, and retrieving all items that reach it loses none.
+
+    A run's pivot is its rarest word, of equally rare ones the one met first. A passage that holds the run has the same pivot, so that
+    only the postings of a passage's pivot are walked, and these list an item under the pivots of its runs only: the shortest lists of the
+    passage, whatever the number of items.
     """
 
-    def __init__(self, items: list[tuple[int, list[str]]], run: int) -> None:
+    def __init__(self, items: list[tuple[int, list[bytes]]], run: int) -> None:
+        spelled: dict[bytes, int] = {}
+        coded = [np.array([spelled.setdefault(w, len(spelled)) for w in ws], np.int64) for _, ws in items]
+        df = np.bincount(np.concatenate([np.unique(c) for c in coded]), minlength=len(spelled))
+        self.vocabulary = spelled
+        # From the rarest word on; the last place is that of all unknown words.
+        self.rank = np.append(np.argsort(np.lexsort((np.arange(len(df)), df))), len(df)).astype(np.int32)
         # Similar items stand next to one another, so that a block's bound is near its items' weights.
-        df = Counter(w for _, ws in items for w in set(ws))
-        items = sorted(items, key=lambda x: (min(x[1], key=lambda w: (df[w], w)), x[0]))
-        self.run, self.ids = run, [i for i, _ in items]
-        self.vocabulary = {w: k for k, w in enumerate(df)}
-        self.words = [[self.vocabulary[w] for w in ws] for _, ws in items]
-        self.need = [min(run, len(ws)) for ws in self.words]
-        self.shortest = min(self.need)
-        self.grams = [{tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)} for ws, n in zip(self.words, self.need)]
-        mean = sum(map(len, self.words)) / len(items)
-        n_blocks = -(-len(items) // BLOCK)
-        self.row = np.zeros((len(df) + 1, n_blocks), np.int32)  # the last word is the one of no item
-        rows = [np.zeros(BLOCK, np.float32)]
-        idf = {self.vocabulary[w]: math.log(1 + (len(items) - c + 0.5) / (c + 0.5)) for w, c in df.items()}
-        for k, ws in enumerate(self.words):
-            weight = {w: idf[w] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(ws) / mean)) for w, c in Counter(ws).items()}
-            least = min(sum(weight[w] for w in set(gram)) for gram in self.grams[k])
-            for w, x in weight.items():
-                at = self.row[w, k // BLOCK]
-                if not at:
-                    at = self.row[w, k // BLOCK] = len(rows)
-                    rows.append(np.zeros(BLOCK, np.float32))
-                rows[at][k % BLOCK] = x / least
-        self.weights = np.stack(rows)
-        self.most = self.weights.max(axis=1)[self.row]  # word by block: the bound
-
-    def passages(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the passages of ``ids``: the maximal runs of index words, long ones as overlapping windows.
-
-        A word that no item has weighs nothing and breaks every run of an item, so nothing else can hold one.
+        order = sorted(range(len(items)), key=lambda k: (int(self.rank[coded[k]].min()), items[k][0]))
+        self.ids, coded = [items[k][0] for k in order], [coded[k] for k in order]
+        size = np.array([len(c) for c in coded])
+        self.flat, self.starts = np.concatenate(coded).astype(np.int32), np.cumsum(size) - size
+        self.ends, self.need = self.starts + size, np.minimum(run, size)
+        self.n_blocks = -(-len(items) // BLOCK)
+        # Weights by word and item.
+        of = np.repeat(np.arange(len(items)), size)
+        keys, place, tf = np.unique(self.flat * np.int64(len(items)) + of, return_inverse=True, return_counts=True)
+        word, item = keys // len(items), keys % len(items)
+        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
+        weight = idf[word] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / size.mean()))
+        least, postings = self._runs(weight[place], of)
+        self.keys, self.weights = keys, (weight / least[item]).astype(np.float32)
+        blocks, first = np.unique(word * self.n_blocks + item // BLOCK, return_index=True)
+        self.block_keys, self.most = blocks, np.maximum.reduceat(self.weights, first)
+        # The largest weight of a word among items of each size of run, and their postings by pivot.
+        self.sizes = np.unique(self.need).tolist()
+        self.bound = {n: np.zeros(len(df) + 1, np.float32) for n in self.sizes}
+        self.slot, self.list_starts, self.list_items = {}, {}, {}
+        for n in self.sizes:
+            mine = self.need[item] == n
+            np.maximum.at(self.bound[n], word[mine], self.weights[mine])
+            pivots, first = np.unique(postings[n] // len(items), return_index=True)
+            self.slot[n] = np.full(len(df) + 1, -1, np.int32)
+            self.slot[n][pivots] = np.arange(len(pivots))
+            self.list_starts[n] = np.append(first, len(postings[n]))
+            self.list_items[n] = (postings[n] % len(items)).astype(np.int32)
+
+    def _runs(self, weight: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """Each item's threshold, and per size of run the sorted ``pivot * items + item``. ``weight`` and ``of`` are by place in ``flat``."""
+        flat, n_items = self.flat, len(self.ids)
+        # A word counts once in a run: where it didn't stand before within it.
+        by = np.lexsort((np.arange(len(flat)), flat, of))
+        before = np.full(len(flat), -1)
+        same = (flat[by][1:] == flat[by][:-1]) & (of[by][1:] == of[by][:-1])
+        before[by[1:][same]] = by[:-1][same]
+        least, postings = np.full(n_items, np.inf), {}
+        for n in np.unique(self.need).tolist():
+            mine = np.flatnonzero(self.need == n)
+            starts, owner = _spread(self.starts[mine], self.ends[mine] - self.starts[mine] - n + 1)
+            pivots = np.empty(len(starts), np.int64)
+            for part in _chunks(len(starts), n):
+                at = starts[part, None] + np.arange(n)
+                np.minimum.at(least, mine[owner[part]], (weight[at] * (before[at] < starts[part, None])).sum(1))
+                pivots[part] = flat[starts[part] + self.rank[flat[at]].argmin(1)]
+            postings[n] = np.unique(pivots * n_items + mine[owner])
+        return least, postings
+
+    def passages(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and pivots (places) of the passages for runs of ``n`` words: neighbouring windows that have the pivot in common.
+
+        A word that no item of such runs has weighs nothing and breaks every run, so that no window holds one; no passage is
+        longer than 2n - 1 words.
         """
-        known = np.concatenate([[0], (ids >= 0).view(np.int8), [0]])
-        edge = np.flatnonzero(np.diff(known))
-        starts, ends = edge[::2], edge[1::2]
-        keep = ends - starts >= self.shortest
-        starts, ends = starts[keep], ends[keep]
-        step = WINDOW - self.run + 1
-        n = np.maximum(1, -(-(ends - starts - self.run + 1) // step))
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        first = np.repeat(starts, n) + nth * step
-        return first, np.minimum(first + WINDOW, np.repeat(ends, n))
-
-    def retrieve(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """All (passage, item, score) that reach the items' thresholds, in portions.
-
-        Of each passage and block the words' largest weights are summed first; only blocks whose bound reaches the threshold are
-        scored, item by item.
+        known = np.concatenate([[0], np.cumsum(self.bound[n][ids] > 0)])
+        starts = np.flatnonzero(known[n:] - known[:-n] == n)
+        if not len(starts):
+            return starts, starts, starts
+        pivots = np.empty(len(starts), np.int64)
+        for part in _chunks(len(starts), n):
+            pivots[part] = starts[part] + self.rank[ids[starts[part, None] + np.arange(n)]].argmin(1)
+        new = np.ones(len(starts), bool)
+        new[1:] = (pivots[1:] != pivots[:-1]) | (starts[1:] != starts[:-1] + 1)
+        first = np.flatnonzero(new)
+        return starts[first], starts[np.append(first[1:], len(starts)) - 1] + n, pivots[first]
+
+    def _look(self, keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], np.float32(0))
+
+    def retrieve(self, ids: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All (pivot's place, item, score) that reach the items' thresholds, of items with runs of ``n`` words.
+
+        A passage is dropped if even the largest weights of its words stay below the threshold, or its pivot is no item's. Then the
+        pivot's postings are walked: a block is skipped if the largest weights within it stay below, and its items are scored else.
         """
-        for at in range(0, len(starts), 4096):
-            s, e = starts[at : at + 4096], ends[at : at + 4096]
-            size = e - s
-            owner = np.repeat(np.arange(len(s)), size)
-            token = ids[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(s, size)]
-            pair = np.unique(owner * len(self.row) + token)  # each word of a passage once
-            owner, token = pair // len(self.row), pair % len(self.row)
-            first = np.searchsorted(owner, np.arange(len(s)))
-            bound = np.add.reduceat(self.most[token], first, axis=0)
-            p, block = np.nonzero(bound >= 1 - SLACK)
-            if not len(p):
-                continue
-            size = np.diff(np.append(first, len(token)))[p]
-            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[p], size)
-            score = np.add.reduceat(self.weights[self.row[token[place], np.repeat(block, size)]], np.cumsum(size) - size, axis=0)
-            hit, lane = np.nonzero(score >= 1 - SLACK)
-            yield at + p[hit], block[hit] * BLOCK + lane, score[hit, lane]
-
-    def verify(self, passage: list[int], item: int) -> int:
-        """The number of words of the longest run that passage and item share, if it is as long as needed, else 0."""
-        n, grams = self.need[item], self.grams[item]
-        if not any(tuple(passage[k : k + n]) in grams for k in range(len(passage) - n + 1)):
-            return 0
-        best, last, theirs = 0, [], self.words[item]
-        for w in passage:
-            now = [0] * (len(theirs) + 1)
-            for k, x in enumerate(theirs):
-                if x == w:
-                    now[k + 1] = (last[k] if last else 0) + 1
-            best, last = max(best, *now), now
-        return best
-
-    def leaks(self, texts: list[list[int]]) -> dict[tuple[int, int], tuple[int, float]]:
+        starts, ends, pivots = self.passages(ids, n)
+        keep = self.slot[n][ids[pivots]] >= 0
+        starts, ends, pivots = starts[keep], ends[keep], pivots[keep]
+        for part in _chunks(len(starts), 64 * n):
+            s, e, p = starts[part], ends[part], pivots[part]
+            at, owner = _spread(s, e - s)
+            pair = np.unique(owner * np.int64(len(self.rank)) + ids[at])  # each word of a passage once
+            owner, word = pair // len(self.rank), pair % len(self.rank)
+            reach = np.bincount(owner, self.bound[n][word], minlength=len(s))
+            first, size = np.searchsorted(owner, np.arange(len(s))), np.bincount(owner, minlength=len(s))
+            asked = np.flatnonzero(reach >= 1 - SLACK)
+            slot = self.slot[n][ids[p[asked]]]
+            where, k = _spread(self.list_starts[n][slot], self.list_starts[n][slot + 1] - self.list_starts[n][slot])
+            passage, item = asked[k], self.list_items[n][where]
+            for some in _chunks(len(item), 2 * n):
+                q, i = passage[some], item[some].astype(np.int64)
+                blocks, back = np.unique(q * np.int64(self.n_blocks) + i // BLOCK, return_inverse=True)
+                bound = self._sums(self.block_keys, self.most, self.n_blocks, blocks // self.n_blocks, blocks % self.n_blocks, first, size, word)
+                fit = bound[back] >= 1 - SLACK
+                q, i = q[fit], i[fit]
+                score = self._sums(self.keys, self.weights, len(self.ids), q, i, first, size, word)
+                hit = score >= 1 - SLACK
+                yield p[q[hit]], i[hit], score[hit]
+
+    def _sums(self, keys, values, width: int, passage, column, first, size, word) -> np.ndarray:
+        """The sum of the passages' words in a column (a block or an item) of a sparse table by word and column."""
+        at, of = _spread(first[passage], size[passage])
+        return np.bincount(of, self._look(keys, values, word[at] * np.int64(width) + column[of]), minlength=len(passage))
+
+    def verify(self, ids: np.ndarray, place: int, item: int) -> int:
+        """Words of the longest run through ``place`` that text and item share, if it is as long as needed, else 0."""
+        theirs, best = self.flat[self.starts[item] : self.ends[item]], 0
+        for at in np.flatnonzero(theirs == ids[place]).tolist():
+            same = ids[place : place + len(theirs) - at] == theirs[at : at + len(ids) - place]
+            after = len(same) if same.all() else int(same.argmin())
+            back = min(place, at)
+            same = ids[place - back : place][::-1] == theirs[at - back : at][::-1]
+            best = max(best, after + (back if same.all() else int(same.argmin())))
+        return best if best >= self.need[item] else 0
+
+    def leaks(self, texts: list[list[bytes]]) -> dict[tuple[int, int], tuple[int, float]]:
         """``(text, item id)`` to the longest shared run and the best score."""
-        size = np.array([len(t) + 1 for t in texts])
-        ids = np.concatenate([np.array([*t, -1], np.int64) for t in texts]) if texts else np.zeros(0, np.int64)
-        text_of = np.cumsum(size)
-        starts, ends = self.passages(ids)
+        get, unknown = self.vocabulary.get, len(self.vocabulary)
+        coded = [k for ws in texts for k in (*map(get, ws, repeat(unknown)), unknown)]
+        ids, text_of = np.array(coded, np.int64), np.cumsum([len(ws) + 1 for ws in texts])
         found: dict[tuple[int, int], tuple[int, float]] = {}
-        for ps, items, scores in self.retrieve(ids, starts, ends):
-            of = np.searchsorted(text_of, starts[ps], "right")
-            for p, item, score, text in zip(ps.tolist(), items.tolist(), scores.tolist(), of.tolist()):
-                # Matches longer than a window show as the window's length at least.
-                if run := self.verify(ids[starts[p] : ends[p]].tolist(), item):
-                    was = found.get((text, self.ids[item]), (0, 0.0))
-                    found[text, self.ids[item]] = (max(was[0], run), max(was[1], score))
+        for n in self.sizes:
+            for places, items, scores in self.retrieve(ids, n):
+                of = np.searchsorted(text_of, places, "right")
+                for p, item, score, text in zip(places.tolist(), items.tolist(), scores.tolist(), of.tolist()):
+                    if length := self.verify(ids, p, item):
+                        was = found.get((text, self.ids[item]), (0, 0.0))
+                        found[text, self.ids[item]] = (max(was[0], length), max(was[1], score))
         return found
 
 
-def _indexes(items: Iterable[tuple[int, str | None]], run: int) -> Iterator[ItemIndex]:
-    part, size = [], 0
-    for item, text in items:
-        ws = words(text)
-        if item is None or not ws:
-            continue
-        if part and (len(part) >= INDEX_ITEMS or size + len(ws) > INDEX_WORDS):
-            yield ItemIndex(part, run)
-            part, size = [], 0
-        part.append((item, ws))
-        size += len(ws)
-    if part:
-        yield ItemIndex(part, run)
-
-
 def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", run: int = 13) -> DataFrame:
     """``key, item_id, run_words, score`` of each document and each item of which it holds ``run`` consecutive words.
 
     Of an item with fewer words it must hold all, likewise consecutive; items without words have no cases. ``run_words`` is the length
-    of the longest shared run (within a window of 64 words), ``score`` the best passage's BM25 score as a multiple of the item's
-    threshold. Words are the maximal runs of a-z and 0-9 of the whole lower-cased text; null texts have none. Rows without key
-    are ignored, repeated keys and items give one row each, other columns are ignored, and empty tables give no rows.
+    of the longest run of words that both share, ``score`` the best passage's BM25 score as a multiple of the item's threshold. Words
+    are the maximal runs of a-z and 0-9 of the whole lower-cased text; null texts have none. Rows without key or item are
+    ignored, repeated keys and items give one row each, other columns are ignored, and empty tables give no rows.
 
-    The items are read in portions of at most INDEX_ITEMS items into indexes of bounded size, and INDEXES_PER_PASS of these are
-    broadcast for a pass over the documents, which aren't shuffled.
+    Tasks build indexes of about INDEX_WORDS words of items each, which pass the driver one by one, as bytes, to be broadcast. One scan of
+    the documents, which aren't shuffled, asks INDEXES_PER_SCAN of them; only more items than these hold need another scan.
     """
+    if run < 1:
+        raise ValueError("a run has one word at least")
     narrow = documents.select(documents[key].alias(key), documents[text].alias("text")).where(f"`{key}` is not null and text is not null")
     schema = T.StructType([T.StructField(key, narrow.schema[0].dataType), T.StructField("item_id", T.LongType()), T.StructField("run_words", T.IntegerType()), T.StructField("score", T.DoubleType())])
     spark = documents.sparkSession
+    listed = items.select(items[item].cast("long").alias("item"), items[item_text].alias("text")).where("item is not null and text is not null")
+    total = listed.agg(F.sum(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")))).first()[0] or 0
+    portion = F.pmod(F.xxhash64("item", "text"), F.lit(math.ceil(total / INDEX_WORDS) or 1)).alias("portion")
+
+    def build(part: pa.Table) -> pa.Table:
+        rows = [(i, ws) for i, t in zip(part.column("item").to_pylist(), part.column("text").to_pylist()) if (ws := byte_words(t))]
+        blobs = [pickle.dumps(ItemIndex(rows, run), pickle.HIGHEST_PROTOCOL)] if rows else []
+        return pa.table({"blob": pa.array(blobs, pa.binary())})
+
+    indexes = cut(listed.select(portion, "item", "text").groupBy("portion").applyInArrow(build, "blob binary"))
 
-    def one_pass(indexes: list[ItemIndex]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(indexes)
+    def one_scan(blobs: list[bytes]) -> DataFrame:
+        shared = [spark.sparkContext.broadcast(blob) for blob in blobs]
 
         def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = [pickle.loads(b.value) for b in shared]
             for batch in batches:
-                texts = [words(t) for t in batch.column(1).to_pylist()]
-                rows: list[tuple] = []
-                for index in shared.value:
-                    get = index.vocabulary.get
-                    for (k, i), (n, score) in index.leaks([list(map(get, ws, repeat(-1))) for ws in texts]).items():
-                        rows.append((k, i, n, score))
+                texts = [byte_words(t) for t in batch.column(1).to_pylist()]
+                rows = [(k, i, n, score) for index in asked for (k, i), (n, score) in index.leaks(texts).items()]
                 keys = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.float64())], schema.names)
 
         return narrow.mapInArrow(run_batches, schema)
 
-    passes, part = [], []
-    source = items.select(items[item].cast("long"), items[item_text]).toLocalIterator()  # portion by portion
-    for index in _indexes(((r[0], r[1]) for r in source), run):
-        part.append(index)
-        if len(part) == INDEXES_PER_PASS:
-            passes.append(one_pass(part))
+    scans, part = [], []
+    for row in indexes.toLocalIterator():
+        part.append(bytes(row["blob"]))
+        if len(part) == INDEXES_PER_SCAN:
+            scans.append(one_scan(part))
             part = []
     if part:
-        passes.append(one_pass(part))
-    if not passes:
+        scans.append(one_scan(part))
+    if not scans:
         return spark.createDataFrame([], schema)
-    out = passes[0]
-    for more in passes[1:]:
+    out = scans[0]
+    for more in scans[1:]:
         out = out.unionByName(more)
     return out.groupBy(key, "item_id").agg(F.max("run_words").alias("run_words"), F.max("score").alias("score"))

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from lodestrata.llm import leakage
-from lodestrata.llm.leakage import leaked_items, words
+from lodestrata.llm.leakage import ItemIndex, byte_words, leaked_items, words
 
 
 def brute(documents, items, run=13):
@@ -37,32 +39,86 @@ def make(rng, vocabulary=30):
     return documents, items
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_index(seed):
-    documents, items = make(random.Random(seed))
-    found = set()
-    for index in leakage._indexes(items, 13):
-        texts = [[index.vocabulary.get(w, -1) for w in words(t)] for _, t in documents]
-        found |= {(documents[k][0], i) for k, i in index.leaks(texts)}
-    assert {x for x in found if x[0] is not None} == brute(documents, items)
+def longest(a, b):
+    """Words of the longest common run of two word lists."""
+    best, last = 0, []
+    for w in a:
+        now = [0] * (len(b) + 1)
+        for k, x in enumerate(b):
+            if x == w:
+                now[k + 1] = (last[k] if last else 0) + 1
+        best, last = max(best, *now), now
+    return best
+
+
+def indexed(items, run):
+    return ItemIndex([(i, ws) for i, t in items if i is not None and (ws := byte_words(t))], run)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_byte_words(text):
+    assert [w.decode() for w in byte_words(text)] == words(text)
+    assert [w.decode() for w in byte_words("İK a" + text)] == words("İK a" + text) and byte_words(None) == []
+
+
+@pytest.mark.parametrize("run", [1, 2, 13, 64, 65, 200])
+def test_index(run, monkeypatch):
+    documents, items = make(random.Random(run))
+    monkeypatch.setattr(leakage, "CELLS", 500)
+    found = indexed(items, run).leaks([byte_words(t) for _, t in documents])
+    assert {(documents[k][0], i) for k, i in found if documents[k][0] is not None} == {x for x in brute(documents, items, run) if x[1] is not None}
+    texts = {}
+    for i, t in items:
+        texts.setdefault(i, []).append(words(t))
+    for (k, i), (length, score) in list(found.items())[:200]:
+        assert length == max(longest(words(documents[k][1]), ws) for ws in texts[i] if ws), (k, i)
+        assert score > 0.99
+
+
+def test_a_whole_long_item():
+    ws = [f"w{k}" for k in range(120)]
+    index = ItemIndex([(7, [w.encode() for w in ws])], 80)
+    assert index.leaks([byte_words("x " + " ".join(ws) + " y"), byte_words(" ".join(ws[:79])), byte_words(" ".join(ws[20:100]))]) == {(0, 7): (120, pytest.approx(1, abs=1)), (2, 7): (80, pytest.approx(1, abs=1))}
 
 
 def test_thresholds_lose_nothing():
     documents, items = make(random.Random(8), vocabulary=4000)
-    index = next(leakage._indexes([x for x in items if x[0] is not None], 13))
-    for k, grams in enumerate(index.grams):
-        for gram in grams:
-            assert sum(float(index.weights[index.row[w, k // leakage.BLOCK], k % leakage.BLOCK]) for w in set(gram)) >= 1 - leakage.SLACK
+    index = indexed(items, 13)
+    for k in range(len(index.ids)):
+        theirs, n = index.flat[index.starts[k] : index.ends[k]].tolist(), index.need[k]
+        for at in range(len(theirs) - n + 1):
+            gram = np.unique(theirs[at : at + n])
+            assert index._look(index.keys, index.weights, gram * len(index.ids) + k).sum() >= 1 - leakage.SLACK
+            assert index._look(index.block_keys, index.most, gram * index.n_blocks + k // leakage.BLOCK).sum() >= 1 - leakage.SLACK
+            assert k in index.list_items[n][slice(*index.list_starts[n][[(s := index.slot[n][min(gram, key=lambda w: index.rank[w])]), s + 1]])]
+
+
+def test_work_follows_matches():
+    """The postings walked per passage don't grow with the items."""
+    rng = random.Random(1)
+    word = lambda: b"w%d" % int(20_000 * rng.random() ** 3)
+    texts = [[word() for _ in range(3000)]]
+    walked = []
+    for n in (500, 5000):
+        index = ItemIndex([(i, [word() for _ in range(40)]) for i in range(n)], 13)
+        ids = np.array([index.vocabulary.get(w, len(index.vocabulary)) for w in texts[0]])
+        _, _, pivots = index.passages(ids, 13)
+        slots = index.slot[13][ids[pivots]]
+        walked.append(np.diff(index.list_starts[13])[slots[slots >= 0]].sum() / max(1, len(pivots)))
+    assert walked[1] < 6
 
 
-def test_table(spark, monkeypatch):
+@pytest.mark.parametrize("per_index", [2_000_000, 150])
+def test_table(spark, monkeypatch, per_index):
     documents, items = make(random.Random(4))
     d = spark.createDataFrame([(*x, 1, "t") for x in documents], "doc_id long, text string, item_id int, score string")
     i = spark.createDataFrame([(*x, "s") for x in items], "item_id long, text string, doc_id string")
-    want = brute(documents, items)
-    assert {(r.doc_id, r.item_id) for r in leaked_items(d, i).collect()} == want
-    monkeypatch.setattr(leakage, "INDEX_ITEMS", 7)  # several indexes and passes
-    monkeypatch.setattr(leakage, "INDEXES_PER_PASS", 2)
+    want = {x for x in brute(documents, items) if x[1] is not None}
+    monkeypatch.setattr(leakage, "INDEX_WORDS", per_index)  # several indexes and scans
+    monkeypatch.setattr(leakage, "INDEXES_PER_SCAN", 2)
     rows = leaked_items(d, i).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want) and all(r.run_words >= 1 and r.score > 0.99 for r in rows)
     assert leaked_items(d.limit(0), i).collect() == [] and leaked_items(d, i.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        leaked_items(d, i, run=0)
