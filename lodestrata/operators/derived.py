@@ -43,6 +43,10 @@ def invalidated(registry: DataFrame, patterns: DataFrame, commits: DataFrame) ->
     return registry.join(hit.groupBy("name").agg(F.max("txn_id").alias("touched")), "name").where(F.col("touched") > F.col("source_txn")).select("name").distinct()
 
 
+# Limits of latency in milliseconds with what they do to a score, and the hit rate beyond which a cache gains.
+FAST, SLOW, HITS = (10, 1.1), (100, 0.9), (0.8, 0.1)
+
+
 def best_source(scores: dict[str, Column], latency_ms: dict[str, float], hit_rate: dict[str, float]) -> Column:
     """The name of the source with the greatest score, of equal ones the first by name.
 
@@ -50,8 +54,9 @@ def best_source(scores: dict[str, Column], latency_ms: dict[str, float], hit_rat
     """
     entries = []
     for name in sorted(scores):
-        factor = 1.1 if latency_ms.get(name, 50) <= 10 else 0.9 if latency_ms.get(name, 50) > 100 else 1.0
-        entries.append(F.struct((scores[name] * factor + (0.1 if hit_rate.get(name, 0) > 0.8 else 0.0)).alias("score"), F.lit(name).alias("name")))
+        latency = latency_ms.get(name, 50)
+        factor = FAST[1] if latency <= FAST[0] else SLOW[1] if latency > SLOW[0] else 1.0
+        entries.append(F.struct((scores[name] * factor + (HITS[1] if hit_rate.get(name, 0) > HITS[0] else 0.0)).alias("score"), F.lit(name).alias("name")))
     top = F.aggregate(F.array(*entries), entries[0], lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
     return top["name"]
 

@@ -97,3 +97,25 @@ def version_compatibility(spark: SparkSession, sf: str) -> DataFrame:
     grid = spark.range(1).select(F.explode(keys).alias("r")).select("r", F.explode(keys).alias("s")).select("r", "s", F.explode(keys).alias("w")).select("r", "s", "w", F.explode(keys).alias("x"))
     version = lambda a, b: F.concat(F.col(a).cast("string"), F.lit("."), F.col(b).cast("string"), F.lit(".0"))
     return grid.select(version("r", "s").alias("reader"), version("w", "x").alias("writer")).withColumn("readable", version_readable(F.col("reader"), F.col("writer")))
+
+
+@Q(
+    "route_best_source",
+    """SELECT CASE WHEN c >= a AND c >= b AND NOT (a >= c) THEN 'cache' WHEN a >= b THEN 'archive' ELSE 'base' END AS source, count(*) AS requests FROM
+    (SELECT value / 200 * 1.1 AS a, 0.25 AS b, (1 - value / 200) * 0.9 + 0.1 AS c FROM events WHERE value IS NOT NULL) GROUP BY 1""",
+)
+def route_best_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Each request goes to the source that promises most: a fast archive, a plain table, or a slow cache that mostly hits."""
+    v = F.col("value") / 200
+    source = derived.best_source({"archive": v, "base": F.lit(0.25), "cache": 1 - v}, {"archive": 5, "cache": 150}, {"cache": 0.9})
+    return table(spark, sf, "events").where("value is not null").groupBy(source.alias("source")).agg(F.count("*").alias("requests"))
+
+
+@Q("derived_invalidated", "SELECT DISTINCT split_part(TRY_CAST(key AS VARCHAR), ':', 1) AS name FROM kv_commits WHERE txn_id > (SELECT max(txn_id) // 2 FROM kv_commits) AND lower(trim(op)) = 'put' AND regexp_matches(TRY_CAST(key AS VARCHAR), '^[a-z]+:')")
+def derived_invalidated(spark: SparkSession, sf: str) -> DataFrame:
+    """A table per kind of key, made at half of the log: those that later puts touch."""
+    commits = table(spark, sf, "kv_commits").select("txn_id", F.regexp_extract(F.col("key").cast("string"), "^[a-z]+:", 0).alias("key_prefix"), F.lower(F.trim("op")).alias("op")).where("key_prefix <> ''")
+    middle = (commits.agg(F.max("txn_id")).first()[0] or 0) // 2
+    names = commits.select(F.rtrim("key_prefix", F.lit(":")).alias("name"), F.col("key_prefix").alias("prefix")).distinct()
+    registry = names.select("name", F.lit(middle).alias("source_txn"))
+    return derived.invalidated(registry, names.select("name", "prefix", F.lit("put").alias("op")), commits)

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from lodestrata.operators.change_feed import apply_feed
 from lodestrata.operators.entity_features import entity_type_stats, feature_table, normal_type
 from lodestrata.operators.hierarchy import descendants, hierarchies, key_number, number_key
-from lodestrata.operators.merkle import changed_versions, validity
+from lodestrata.operators.merkle import append_snapshot, changed_versions, validity
 from lodestrata.operators.outranking import INDIFFERENT, PREFERRED, net_flow
 from lodestrata.operators.snapshot_diff import neighbouring_changes
+from lodestrata.plans.lineage import cut
 from lodestrata.queries.registry import Registry
 from lodestrata.sources.tables import table
 
@@ -25,6 +26,10 @@ _EVENTS = """events1 AS (
   ORDER BY event_id, actor_id, kind, ts DESC)"""
 
 
+#: Columns of features that a row may have.
+MAX_TYPES = 10_000
+
+
 @REGISTRY.query(
     "p1_found",
     f"""WITH {_EVENTS}
@@ -53,8 +58,10 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p1_features(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "event_index")
     stats = entity_type_stats(events, value=F.get_json_object("payload", "$.ms").try_cast("double"))
-    # The list of types is a fixed, small table.
-    types = [r[0] for r in table(spark, sf, "event_types").select(normal_type(F.col("type_name"))).distinct().limit(10_000).collect()]
+    # The list of types is a fixed, small table; one that isn't is an error, not a shorter list.
+    types = [r[0] for r in table(spark, sf, "event_types").select(normal_type(F.col("type_name"))).distinct().limit(MAX_TYPES + 1).collect()]
+    if len(types) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} event types")
     wide = feature_table(stats, types, F.lit("2025-01-01").cast("timestamp_ntz"))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ",", "-").alias(c)
     return wide.select(F.col("entity").alias("actor_id"), "n_events", "n_types", "first_ts", "last_ts", "other_events", text("counts"), text("recency_s"), text("totals"))
@@ -97,11 +104,13 @@ def p2_history(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- 3: changes between deliveries ----------------------------------------------------------------------------------------
 
-_DELIVERIES = f"""held AS (
+_HELD = f"""held AS (
       SELECT row_number() OVER () AS rid, delivery_no, entity_namespace, entity_local_id, state_data FROM (
         SELECT *, row_number() OVER (PARTITION BY delivery_no, entity_namespace, entity_local_id ORDER BY delivered_at DESC) AS copy
         FROM snapshot_deliveries WHERE delivery_no IS NOT NULL) WHERE copy = 1),
-    {_VALUES.format(name="vals", rows="held")},
+    {_VALUES.format(name="vals", rows="held")}"""
+
+_DELIVERIES = f"""{_HELD},
     numbers AS (SELECT delivery_no, lag(delivery_no) OVER (ORDER BY delivery_no) AS before FROM (SELECT DISTINCT delivery_no FROM held)),
     now AS (SELECT h.*, v.v, n.before FROM held h JOIN numbers n USING (delivery_no) LEFT JOIN vals v USING (rid)),
     pairs AS (
@@ -129,6 +138,35 @@ def p3_summary(spark: SparkSession, sf: str) -> DataFrame:
     return neighbouring_changes(table(spark, sf, "snapshot_deliveries")).groupBy("delivery_no").agg(of("added"), of("removed"), of("changed"))
 
 
+_LIVES = f"""{_HELD},
+    numbers AS (SELECT delivery_no, row_number() OVER (ORDER BY delivery_no) AS nth FROM (SELECT DISTINCT delivery_no FROM held)),
+    seen AS (SELECT h.*, n.nth, v.v, lag(n.nth) OVER w AS before, lag(v.v) OVER w AS was FROM held h JOIN numbers n USING (delivery_no) LEFT JOIN vals v USING (rid)
+             WINDOW w AS (PARTITION BY entity_namespace, entity_local_id ORDER BY n.nth)),
+    lives AS (SELECT *, sum(CASE WHEN before = nth - 1 AND v IS NOT DISTINCT FROM was THEN 0 ELSE 1 END) OVER (PARTITION BY entity_namespace, entity_local_id ORDER BY nth) AS life FROM seen),
+    spans AS (SELECT entity_namespace, entity_local_id, min(nth) AS first, max(nth) AS last FROM lives GROUP BY 1, 2, life)"""
+
+
+def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """``no, key, state``: each delivery as a full snapshot."""
+    rows = table(spark, sf, "snapshot_deliveries").where("delivery_no is not null").select(F.col("delivery_no").alias("no"), F.struct("entity_namespace", "entity_local_id").alias("key"), "delivered_at", "state_data")
+    return rows.groupBy("no", "key").agg(F.max(F.struct("delivered_at", "state_data")).alias("x")).select("no", "key", F.col("x.state_data").alias("state"))
+
+
+@REGISTRY.query("p2_append_snapshot", f"WITH {_LIVES} SELECT entity_namespace, entity_local_id, a.delivery_no AS valid_from, b.delivery_no AS valid_to FROM spans s JOIN numbers a ON a.nth = s.first LEFT JOIN numbers b ON b.nth = s.last + 1")
+def p2_append_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The history that full snapshots leave, appended delivery by delivery; a period ends with the delivery that brings another state or none."""
+    snapshots = cut(_snapshots(spark, sf))
+    numbers = sorted(r[0] for r in snapshots.select("no").distinct().collect())  # deliveries are few
+    history = spark.createDataFrame([], snapshots.select("key", "state").schema).select("*", F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
+    previous = snapshots.where("false")
+    for no in numbers:
+        current = snapshots.where(F.col("no") == no)
+        history = cut(append_snapshot(history, previous, current, F.timestamp_seconds(F.lit(no))))
+        previous = current
+    seconds = lambda c: F.unix_seconds(c).cast("int").alias(c)
+    return history.select("key.entity_namespace", "key.entity_local_id", seconds("valid_from"), seconds("valid_to"))
+
+
 # --- 4: change feed -------------------------------------------------------------------------------------------------------
 
 _FEED = """changes AS (
@@ -147,6 +185,15 @@ def p4_state(spark: SparkSession, sf: str) -> DataFrame:
     return apply_feed(table(spark, sf, "kv_commits")).select(F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex"), "txn_id", "seq")
 
 
+@REGISTRY.query("p4_merge", f"WITH {_FEED} SELECT hex(key) AS key_hex, hex(value) AS value_hex, txn_id, seq FROM last WHERE kind = 'put'")
+def p4_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The later half of the transactions merged into the state that the earlier half leaves."""
+    feed = table(spark, sf, "kv_commits")
+    middle = (feed.agg(F.max("txn_id")).first()[0] or 0) // 2
+    state = apply_feed(feed.where(F.col("txn_id") > middle), apply_feed(feed.where(F.col("txn_id") <= middle)))
+    return state.select(F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex"), "txn_id", "seq")
+
+
 # --- 5: hierarchies -------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -110,3 +111,30 @@ def export_traces(spark: SparkSession, sf: str) -> DataFrame:
     once = table(spark, sf, "event_index").where("session_id is not null").groupBy("event_id").agg(F.min(F.struct("session_id", "ts")).alias("x"))
     spans = once.select(F.col("event_id").alias("span_id"), F.col("x.session_id").alias("trace_id"), F.unix_micros(F.col("x.ts").cast("timestamp")).alias("start_ns"))
     return export.traces(spans).select("trace_id", F.json_array_length(F.get_json_object("json", "$.spans")).cast("long").alias("spans"))
+
+
+_DAYS = "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS x, CAST(count(*) AS DOUBLE) AS y FROM events WHERE ts IS NOT NULL GROUP BY 1"
+
+
+@Q("chart_points", f"SELECT l AS library, x, y FROM ({_DAYS}), (SELECT unnest(['chartjs', 'd3', 'echarts', 'plotly', 'vega']) AS l)")
+def chart_points(spark: SparkSession, sf: str) -> DataFrame:
+    """The points of the charts of events per day, read from each library's JSON."""
+    days = table(spark, sf, "events").where("ts is not null").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("events"))
+    read = {
+        "chartjs": lambda c: zip(c["data"]["labels"], c["data"]["datasets"][0]["data"]),
+        "d3": lambda c: ((p["x"], p["y"]) for p in c["values"]),
+        "echarts": lambda c: zip(c["xAxis"]["data"], c["series"][0]["data"]),
+        "plotly": lambda c: zip(c["data"][0]["x"], c["data"][0]["y"]),
+        "vega": lambda c: ((p["x"], p["y"]) for p in c["data"]["values"]),
+    }
+    rows = [(library, x, y) for library, points in read.items() for x, y in points(json.loads(export.chart(days, "day", "events", library)))]
+    return spark.createDataFrame(rows, "library string, x string, y double")
+
+
+@Q("dashboard_cells", "SELECT 'types' AS panel, coalesce(event_type, '') AS name, CAST(count(*) AS VARCHAR) AS cell FROM events GROUP BY 2 UNION ALL SELECT 'regions', r_name, CAST(count(n_nationkey) AS VARCHAR) FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 2")
+def dashboard_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells of a page of two tables, read from its JSON."""
+    types = table(spark, sf, "events").groupBy("event_type").count()
+    regions = table(spark, sf, "region").join(table(spark, sf, "nation"), F.col("n_regionkey") == F.col("r_regionkey"), "left").groupBy("r_name").agg(F.count("n_nationkey").alias("nations"))
+    page = json.loads(export.dashboard("tables", [("types", types), ("regions", regions)], "json"))
+    return spark.createDataFrame([(p["name"], row[0] or "", row[1]) for p in page["panels"] for row in p["rows"]], "panel string, name string, cell string")

@@ -15,7 +15,7 @@ from lodestrata.functions.registry import Extensions
 from lodestrata.operators import anomaly, derived, doc_history, graph, predicates, ranking, search, series, temporal, timetravel, vector
 from lodestrata.plans import nl
 from lodestrata.sources import export
-from lodestrata.sources.commit_log import CommitLog, WriteBusy
+from lodestrata.sources.commit_log import CommitConflict, CommitLog, WriteBusy
 from lodestrata.streaming import run, stateful, windows
 
 T0 = datetime(2024, 1, 1)
@@ -350,6 +350,29 @@ def test_streams_equal_batches(spark, tmp_path):
     assert limited.count() == 200 and 0 < limited.where("allowed").count() < 200
 
 
+def test_two_writers(spark, tmp_path):
+    one, two = (CommitLog(spark, str(tmp_path / "log")) for _ in range(2))
+    a, b = one.begin(), two.begin()
+    a.put(b"k", b"a")
+    b.put(b"k", b"b")
+    assert a.commit() == 1
+    with pytest.raises(CommitConflict):
+        b.commit()
+    assert one.get(b"k") == b"a" and two.frame().count() == 1
+    late = two.begin()
+    late.put(b"k", b"late")
+    one.claim(2)  # another writer between its claim and its commit
+    with pytest.raises(CommitConflict):
+        late.commit()
+    one.release(2)
+    with pytest.raises(ValueError):
+        one.release(1)
+    again = two.begin()
+    again.put(b"k", b"again")
+    assert again.get(b"k") == b"again" and again.commit() == 2 and one.get(b"k") == b"again" and one.get(b"k", 1) == b"a"
+    assert two.begin().commit() == 2
+
+
 def test_long_shortest_path(spark):
     edges = spark.range(70).selectExpr("CAST(id AS INT) AS src", "CAST(id + 1 AS INT) AS dst", "1.0 AS strength", "id AS seq")
     pairs = spark.createDataFrame([(0, 66), (0, 3), (5, 4)], "src int, dst int")
