@@ -53,6 +53,8 @@ def neighbors(edges: DataFrame, starts: DataFrame, max_hops: int, rel_types: Seq
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if hop % REWRITE == 0:
+            seen = cut(seen)
     return seen.where("hops > 0")
 
 
@@ -64,7 +66,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = No
     ``max_hops`` too.
     """
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("strength").cast("double").alias("w"), "seq")
-    goals = pairs.select("src", "dst").distinct()
+    goals = cut(pairs.select("src", "dst").distinct())
     frontier = goals.select("src", F.col("src").alias("node")).distinct().select("src", "node", F.array("node").alias("path"), F.lit(1.0).alias("strength"), F.array().cast("array<long>").alias("order"))
     seen = frontier.select("src", "node")
     done = goals.where(F.col("src") == F.col("dst")).select("src", "dst", F.lit(0).alias("hops"), F.array("src").alias("path"), F.lit(1.0).alias("strength"))
@@ -72,18 +74,22 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = No
     for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         moved = frontier.join(step, "node").join(seen.select("src", F.col("node").alias("to")), ["src", "to"], "left_anti")
         grown = moved.select("src", "to", F.struct(F.concat("order", F.array(F.col("seq").cast("long"))).alias("order"), F.concat("path", F.array("to")).alias("path"), (F.col("strength") * F.col("w")).alias("strength")).alias("x"))
-        frontier = cut(grown.groupBy("src", "to").agg(F.min("x").alias("x")).select("src", F.col("to").alias("node"), "x.path", "x.strength", "x.order"))
-        hits = cut(open_goals.join(frontier.withColumnRenamed("node", "dst"), ["src", "dst"]).select("src", "dst", F.lit(hop).alias("hops"), "path", "strength"))
-        if not hits.isEmpty():
-            done = cut(done.unionByName(hits))
-            open_goals = cut(open_goals.join(hits.select("src", "dst"), ["src", "dst"], "left_anti"))
+        best = grown.groupBy("src", "to").agg(F.min("x").alias("x")).select("src", F.col("to").alias("node"), "x.path", "x.strength", "x.order")
+        frontier = cut(best.join(open_goals.select("src", F.col("dst").alias("node"), F.lit(True).alias("hit")), ["src", "node"], "left"))
+        new, hits = frontier.agg(F.count("*"), F.count("hit")).first()
+        if not new:
+            break
         # Frontiers are added as they are; only now and then are they written as one, so that neither plans nor partitions grow with the hops.
         seen = seen.unionByName(frontier.select("src", "node"))
+        if hits:
+            reached = frontier.where("hit").select("src", F.col("node").alias("dst"), F.lit(hop).alias("hops"), "path", "strength")
+            done = done.unionByName(reached)
+            open_goals = cut(open_goals.join(reached.select("src", "dst"), ["src", "dst"], "left_anti"))
+            if open_goals.isEmpty():
+                break
+            frontier = frontier.join(open_goals.select("src").distinct(), "src", "left_semi")
         if hop % REWRITE == 0:
-            seen = cut(seen.repartition("src", "node"))
-        frontier = frontier.join(open_goals.select("src").distinct(), "src", "left_semi")
-        if frontier.isEmpty():
-            break
+            seen, done = cut(seen.repartition("src", "node")), cut(done)
     return done
 
 

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-#: Query vectors that are broadcast at once, which bounds a block to some MB.
-QUERY_BLOCK = 2_048
+#: Query vectors that are multiplied at once, and blocks of them that one scan of the vectors asks (some MB are broadcast).
+QUERY_BLOCK, BLOCKS_PER_SCAN = 2_048, 8
 
 
 def _products(a: Column, b: Column) -> Column:
@@ -44,65 +44,115 @@ def nearest(vectors: DataFrame, query: list[float], k: int, metric: str = "eucli
     return found.orderBy("distance", key).limit(k)
 
 
-def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", key: str = "vec_id", column: str = "embedding", exclude_self: bool = True) -> DataFrame:
-    """``query_id, neighbor_id, distance, rank`` of the ``k`` nearest vectors of each query, exactly.
-
-    Queries are broadcast in blocks of QUERY_BLOCK; each task multiplies its batches with the block and keeps the ``k`` best per query
-    of each batch, so that what is shuffled grows with queries times batches, not with pairs. Vectors of another length than the
-    first query, and null ones, are ignored. Ties follow the key.
+def _exact(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """The distances of the rows of ``q`` to those of ``x``, pair by pair, alike for equal vectors wherever they stand."""
+    if metric == "euclidean":  # differences, not the expanded square: near vectors must not cancel out
+        return np.sqrt(((q - x) ** 2).sum(1))
+    dot = (q * x).sum(1)
+    if metric == "dot":
+        return -dot
+    a, b = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((a < 1e-6) | (b < 1e-6), 1.0, np.clip(1 - dot / (a * b), 0, 2))
+
+
+def _close(q: np.ndarray, x: np.ndarray, metric: str, k: int | None, most: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of ``q``, row of ``x``) among which are the ``k`` nearest, or all within ``most``: found by one product, with room for its rounding."""
+    dot, qq, xx = q @ x.T, (q * q).sum(1)[:, None], (x * x).sum(1)[None, :]
+    if metric == "euclidean":
+        d, room = qq + xx - 2 * dot, 1e-9 * (qq + xx.max())
+    elif metric == "dot":
+        d, room = -dot, 1e-9 * np.sqrt(qq * xx.max())
+    else:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = np.where((qq < 1e-12) | (xx < 1e-12), 1.0, 1 - dot / np.sqrt(qq * xx))
+        room = 1e-9
+    if most is not None:
+        limit = most**2 if metric == "euclidean" and most > 0 else most
+        return np.nonzero(d <= limit + room)
+    kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < d.shape[1] else np.inf
+    return np.nonzero(d <= kth + room)
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int | None = None, metric: str = "euclidean", key: str = "vec_id", column: str = "embedding", exclude_self: bool = True, max_distance: float | None = None) -> DataFrame:
+    """``query_id, neighbor_id, distance, rank`` of the ``k`` nearest vectors of each query, or of all within ``max_distance``, exactly.
+
+    A stated query set against all rows, in blocks: blocks of queries are broadcast, some for each scan of the vectors; tasks multiply
+    their batches with a block, measure the pairs that may count, and keep the ``k`` best per query, so that what is shuffled grows with
+    queries times tasks, not with pairs. Keys are numbers or texts. Vectors of another length than the first query, and null
+    ones, are ignored. Ties follow the key. Exact at every size, its work is queries times vectors; more than some 10,000 queries need
+    another scan.
     """
+    if (k is None) == (max_distance is None):
+        raise ValueError("either k or max_distance")
     dtype = queries.select(key).schema[0].dataType
     schema = T.StructType([T.StructField("query_id", dtype), T.StructField("neighbor_id", dtype), T.StructField("distance", T.DoubleType())])
     spark = vectors.sparkSession
-    narrow = vectors.where(F.col(column).isNotNull()).select(key, column)
-
-    def one_block(block: list) -> DataFrame:
-        ids = [r[0] for r in block]
-        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in block], np.float64)))
+    narrow = vectors.where(F.col(column).isNotNull() & F.col(key).isNotNull()).select(key, column)
+    arrow = _arrow(schema)
+
+    def one_scan(rows: list) -> DataFrame:
+        size = len(rows[0][1])
+        fit = [r for r in rows if len(r[1]) == size]
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in fit]), np.array([r[1] for r in fit], np.float64)))
+
+        def measured(own: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Query number, key and distance of the pairs of a batch that may count."""
+            # One more than k, as the query itself may be among them.
+            i, j = _close(q, x, metric, None if k is None else k + exclude_self, max_distance)
+            if exclude_self:
+                i, j = i[own[i] != names[j]], j[own[i] != names[j]]
+            d = _exact(q[i], x[j], metric)
+            if max_distance is not None:
+                i, j, d = i[d <= max_distance], j[d <= max_distance], d[d <= max_distance]
+            return i, names[j], d
+
+        def best(i: np.ndarray, names: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            order = np.lexsort((names, d, i))
+            i, names, d = i[order], names[order], d[order]
+            first = np.searchsorted(i, i)
+            keep = np.arange(len(i)) - first < k
+            return i[keep], names[keep], d[keep]
+
+        def out(own: np.ndarray, i: np.ndarray, names: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(own[i].tolist(), arrow.field(0).type), pa.array(names.tolist(), arrow.field(1).type), pa.array(d)], schema=arrow)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, q = shared.value
-            q_norm = np.sqrt((q * q).sum(1))
-            place = {x: i for i, x in enumerate(own)}
+            held: tuple | None = None
             for batch in batches:
-                keys, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                fit = [i for i, r in enumerate(rows) if len(r) == q.shape[1]]
+                rows = batch.column(1).to_pylist()
+                fit = [n for n, r in enumerate(rows) if len(r) == q.shape[1]]
                 if not fit:
                     continue
-                x, names = np.array([rows[i] for i in fit], np.float64), [keys[i] for i in fit]
-                if metric == "dot":
-                    d = -(q @ x.T)
-                elif metric == "cosine":
-                    norm = np.sqrt((x * x).sum(1))
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        d = np.clip(1 - (q @ x.T) / np.outer(q_norm, norm), 0, 2)
-                    d[(q_norm < 1e-6)[:, None] | (norm < 1e-6)[None, :]] = 1.0
-                else:
-                    # Differences, not the expanded square: near vectors must not cancel out.
-                    d = np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in q])
-                if exclude_self:
-                    for j, name in enumerate(names):
-                        if name in place:
-                            d[place[name], j] = np.inf
-                order = np.argsort(names, kind="stable")  # ties by key
-                d, names = d[:, order], [names[j] for j in order]
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                at = [(i, j) for i in range(len(own)) for j in best[i] if np.isfinite(d[i, j])]
-                yield pa.RecordBatch.from_pylist([{"query_id": own[i], "neighbor_id": names[j], "distance": float(d[i, j])} for i, j in at], schema=_arrow(schema))
+                names, x = np.array(batch.column(0).take(pa.array(fit)).to_pylist()), np.array([rows[n] for n in fit], np.float64)
+                for at in range(0, len(own), QUERY_BLOCK):
+                    part = slice(at, at + QUERY_BLOCK)
+                    i, n, d = measured(own[part], q[part], names, x)
+                    if k is None:
+                        yield out(own, i + at, n, d)
+                    else:
+                        found = (i + at, n, d)
+                        held = best(*(np.concatenate(pair) for pair in zip(held, found))) if held else best(*found)
+            if held:
+                yield out(own, *held)
 
         return narrow.mapInArrow(run, schema)
 
-    out, block = None, []
-    for row in queries.where(F.col(column).isNotNull()).select(key, column).toLocalIterator():
-        block.append((row[0], list(row[1])))
-        if len(block) == QUERY_BLOCK:
-            out, block = (one_block(block) if out is None else out.unionByName(one_block(block))), []
-    if block:
-        out = one_block(block) if out is None else out.unionByName(one_block(block))
-    if out is None:
-        out = spark.createDataFrame([], schema)
+    scans, part = [], []
+    for row in queries.where(F.col(column).isNotNull() & F.col(key).isNotNull()).select(key, column).toLocalIterator():
+        part.append((row[0], list(row[1])))
+        if len(part) == QUERY_BLOCK * BLOCKS_PER_SCAN:
+            scans.append(one_scan(part))
+            part = []
+    if part:
+        scans.append(one_scan(part))
+    found = scans[0] if scans else spark.createDataFrame([], schema)
+    for more in scans[1:]:
+        found = found.unionByName(more)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", rank)
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:

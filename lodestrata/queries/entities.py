@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestrata.operators import graph, predicates, ranking, search, vector
+from lodestrata.operators.hierarchy import hierarchies, key_number, number_key
+from lodestrata.plans.lineage import cut
 from lodestrata.queries.registry import Registry
 from lodestrata.sources.tables import table
 
@@ -203,11 +205,20 @@ def knn_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return vector.nearest(table(spark, sf, "embeddings"), _first(spark, sf), 1_000_000, "cosine", 0.9).withColumn("distance", F.round("distance", 5))
 
 
-@Q("knn_each", f"WITH d AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id, {_DUCK['euclidean']} AS distance FROM embeddings q JOIN embeddings v ON v.vec_id != q.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, neighbor_id, round(distance, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS r FROM d) WHERE r <= 5")
-def knn_each(spark: SparkSession, sf: str) -> DataFrame:
+def _each(metric: str, where: str) -> str:
+    return f"WITH d AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id, {_DUCK[metric]} AS distance FROM embeddings q JOIN embeddings v ON v.vec_id != q.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, neighbor_id, round(distance, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS r FROM d) WHERE {where}"
+
+
+def _knn_each(spark: SparkSession, sf: str, metric: str, k: int | None, most: float | None = None) -> DataFrame:
     """The stated query set, every 50th vector, against all vectors."""
     vectors = table(spark, sf, "embeddings")
-    return vector.nearest_each(vectors, vectors.where("vec_id % 50 = 0"), 5).select("query_id", "neighbor_id", F.round("distance", 4).alias("distance"))
+    found = vector.nearest_each(vectors, vectors.where("vec_id % 50 = 0"), k, metric, max_distance=most)
+    return found.select("query_id", "neighbor_id", F.round("distance", 4).alias("distance"))
+
+
+for _name, _m in (("knn_each", "euclidean"), ("knn_each_cosine", "cosine"), ("knn_each_dot", "dot")):
+    REGISTRY.add(_name, lambda spark, sf, m=_m: _knn_each(spark, sf, m, 5), _each(_m, "r <= 5"))
+REGISTRY.add("knn_each_threshold", lambda spark, sf: _knn_each(spark, sf, "cosine", None, 0.8), _each("cosine", "distance <= 0.8"))
 
 
 # --- graphs: nation to nation by orders' suppliers ---------------------------------------------------------------------------------------
@@ -301,3 +312,38 @@ def session_lineage(spark: SparkSession, sf: str) -> DataFrame:
     edges = _session_edges(spark, sf)
     hub = edges.groupBy("src").count().orderBy(F.desc("count"), "src").first()["src"]
     return graph.lineage(edges, hub, 4)
+
+
+_STARTS = "SELECT DISTINCT session_id AS node FROM session_nodes WHERE session_id % 50 = 0"
+
+
+@Q(
+    "graph_session_neighbors",
+    f"""WITH RECURSIVE {_SESSIONS}, both_ways AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), s AS ({_STARTS}),
+    w AS (SELECT node AS start, node, 0 AS hops FROM s UNION SELECT w.start, b.dst, w.hops + 1 FROM w JOIN both_ways b ON b.src = w.node WHERE w.hops < 3)
+    SELECT start, node, min(hops) AS hops FROM w WHERE node != start GROUP BY 1, 2""",
+)
+def graph_session_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    """What lies within three links, up or down, of every 50th session: hubs and all."""
+    links = _session_edges(spark, sf)
+    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    starts = table(spark, sf, "session_nodes").where("session_id % 50 = 0").select(F.col("session_id").alias("node")).distinct()
+    return graph.neighbors(both, starts, 3)
+
+
+@Q(
+    "graph_session_paths",
+    f"""WITH RECURSIVE {_SESSIONS}, known AS (SELECT * FROM links WHERE src IN (SELECT session_id FROM session_nodes)), s AS ({_STARTS}),
+    w AS (SELECT node AS dst, node AS here, 0 AS hops, CAST(node AS VARCHAR) AS path FROM s
+          UNION ALL SELECT w.dst, l.src, w.hops + 1, l.src || '>' || w.path FROM w JOIN known l ON l.dst = w.here WHERE NOT list_contains(string_split(w.path, '>'), CAST(l.src AS VARCHAR)))
+    SELECT here AS src, dst, hops, path FROM w WHERE hops > 0 AND here NOT IN (SELECT dst FROM known)""",
+)
+def graph_session_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The path to every 50th session from the root of its tree."""
+    links = _session_edges(spark, sf)
+    sessions = table(spark, sf, "session_nodes").select(F.col("session_id").alias("src")).distinct()
+    edges = cut(links.join(sessions, "src", "left_semi").select("src", "dst", F.lit(1.0).alias("strength"), F.col("dst").alias("seq")))
+    nodes = sessions.join(edges.select(F.col("dst").alias("node"), F.col("src").alias("parent")), F.col("src") == F.col("node"), "left").where("src is not null")
+    tree = hierarchies(nodes.select(number_key(F.col("src")).alias("id"), number_key(F.col("parent")).alias("parent")), paths=False)
+    pairs = tree.where("root is not null").select(key_number(F.col("root")).alias("src"), key_number(F.col("id")).alias("dst")).where("src != dst and dst % 50 = 0")
+    return graph.shortest_paths(edges, pairs).select("src", "dst", "hops", F.array_join("path", ">").alias("path"))
