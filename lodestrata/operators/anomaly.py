@@ -172,3 +172,18 @@ def recent_trend(samples: DataFrame, base: DataFrame, by: Sequence[str], value:
     newest = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("ts"), F.desc(value)))
     recent = samples.withColumn("_n", newest).where(F.col("_n") <= k).groupBy(*by).agg(F.avg(value).alias("recent"))
     return recent.join(base, list(by)).withColumn("change", F.try_divide(F.col("recent") - F.col("base"), F.col("base")))
+
+
+# Samples that a trend needs, and the share of the baseline whose loss is urgent.
+TREND_SAMPLES, URGENT_LOSS = 5, 0.2
+
+
+def restorations(samples: DataFrame, base: DataFrame, by: Sequence[str], value: str, k: int = 5, tolerance: float = 0.05) -> DataFrame:
+    """What has fallen below its baseline and should be restored: ``by, current, target, loss_percent, priority``.
+
+    The current level is the mean of the last ``k`` samples; keys of fewer than TREND_SAMPLES samples aren't judged.
+    """
+    many = samples.groupBy(*by).count().where(F.col("count") >= TREND_SAMPLES).select(*by)
+    now = recent_trend(samples.join(many, list(by), "left_semi"), base, by, value, k).where(F.col("change") < -tolerance)
+    priority = F.when(F.col("change") < -URGENT_LOSS, "high").otherwise("medium")
+    return now.select(*by, F.col("recent").alias("current"), F.col("base").alias("target"), (-F.col("change") * 100).alias("loss_percent"), priority.alias("priority"))

@@ -114,6 +114,14 @@ def risk_level(score: Column) -> Column:
     return F.when(score < 0.3, "low").when(score < 0.6, "medium").when(score < 0.8, "high").otherwise("critical")
 
 
+# The colour of each level.
+COLORS = {"low": "green", "medium": "yellow", "high": "orange", "critical": "red"}
+
+
+def risk_color(level: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in COLORS.items() for x in pair]), level)
+
+
 def change_risk(versions: DataFrame) -> DataFrame:
     """``path, version_id, score, level`` of each version.
 

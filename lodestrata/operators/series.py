@@ -201,6 +201,19 @@ def retention_counts(points: DataFrame, now: Column, raw_days: int = 7, archive_
     return points.agg(F.count_if(age < raw_days).alias("kept"), F.count_if((age >= raw_days) & (age < archive_days)).alias("downsampled"), F.count_if(age >= archive_days).alias("archived"))
 
 
+def retention_report(points: DataFrame, now: Column, size: Column, raw_days: int = 7, archive_days: int = 730) -> DataFrame:
+    """``points, points_after, reduction_percent, mb_saved``: what thinning by age and archiving save; ``size`` is the bytes of a point."""
+    age = (seconds(now) - seconds(F.col("ts"))) / 86_400
+    sized = points.where("ts is not null").select("*", size.alias("_size"), age.alias("_age"))
+    whole = sized.agg(F.count("*").alias("points"), F.sum("_size").alias("bytes"))
+    kept = sized.where(F.col("_age") < raw_days).agg(F.count("*").alias("raw"), F.coalesce(F.sum("_size"), F.lit(0)).alias("raw_bytes"))
+    thin = downsample_by_age(sized.where((F.col("_age") >= raw_days) & (F.col("_age") < archive_days)), now).agg(F.count("*").alias("thin"))
+    one = whole.join(F.broadcast(kept)).join(F.broadcast(thin))  # one row each
+    after = F.col("raw") + F.col("thin")
+    saved = F.col("bytes") - F.col("raw_bytes") - F.col("thin") * F.col("bytes") / F.col("points")
+    return one.where("points > 0").select("points", after.alias("points_after"), ((1 - after / F.col("points")) * 100).alias("reduction_percent"), (saved / 1e6).alias("mb_saved"))
+
+
 def numbered(points: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``points``, cut or cheap to read, with ``i``, from 1 in ``order`` within a group; long series are numbered in blocks of time."""
     rows = points.withColumn("_t", F.unix_micros(F.col(order[0]).cast("timestamp")).cast("double")).withColumn("_one", F.lit(1).cast("long"))

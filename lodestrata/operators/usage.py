@@ -75,3 +75,63 @@ def heartbeat_lag(sent: DataFrame, applied: DataFrame, by: str) -> DataFrame:
     top = sent.agg(F.max("position").alias("top"))
     per = applied.groupBy(by).agg(F.max("position").alias("position"))
     return per.select(by, F.greatest(F.lit(0), top.scalar() - F.col("position")).alias("lag"))
+
+
+# --- what usage suggests -------------------------------------------------------------------------------------------------------------
+
+# How recent use counts (up to so many hours), the accesses of full confidence, the bands of confidence, the hit rate and the accesses
+# that ask for action, and accuracies with their labels.
+RECENCY, RECENCY_REST = ((1, 1.0), (24, 0.8)), 0.5
+FULL_CONFIDENCE = 10
+BANDS = ((0.8, "high"), (0.5, "medium"))
+LOW_HIT_RATE, FREQUENT = 0.5, 1_000
+ACCURACY_LABELS = ((0.9, "high"), (0.7, "medium"))
+
+
+def _label(value: Column, limits: Sequence[tuple[float, str]], rest: str = "low") -> Column:
+    out = F.lit(rest)
+    for limit, name in reversed(limits):
+        out = F.when(value >= limit, name).otherwise(out)
+    return out
+
+
+def accuracy_level(accuracy: Column) -> Column:
+    """The label of an accuracy, compared in single precision, as accuracies are stored."""
+    return _label(accuracy.cast("float"), [(F.lit(limit).cast("float"), name) for limit, name in ACCURACY_LABELS])
+
+
+def pattern_confidence(accesses: DataFrame, pattern: str, now: Column) -> DataFrame:
+    """``pattern, n, confidence, band`` of each pattern: its accesses over FULL_CONFIDENCE, less if the last one is long ago, 1 at most."""
+    per = accesses.where(F.col(pattern).isNotNull()).groupBy(F.col(pattern).alias("pattern")).agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+    recency = F.lit(RECENCY_REST)
+    for hours, factor in reversed(RECENCY):
+        recency = F.when(_hours(now, F.col("last_ts")) < hours, factor).otherwise(recency)
+    confidence = F.least(F.lit(1.0), F.col("n") / FULL_CONFIDENCE * recency)
+    return per.select("pattern", "n", confidence.alias("confidence")).withColumn("band", _label(F.col("confidence"), BANDS))
+
+
+def insights(confidences: DataFrame) -> DataFrame:
+    """``patterns, high, medium, low, mean_confidence`` over :func:`pattern_confidence`."""
+    of = lambda band: F.count_if(F.col("band") == band).alias(band)
+    return confidences.agg(F.count("*").alias("patterns"), of("high"), of("medium"), of("low"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence"))
+
+
+def suggestions(accesses: DataFrame, pattern: str, hit: Column, k: int = 5) -> DataFrame:
+    """``target, kind, priority, n``: ``increase_cache`` (of target ``cache``) if too few accesses are hits, ``build`` for those of the ``k`` most
+    frequent patterns that exceed FREQUENT accesses."""
+    rate = accesses.agg(F.count("*").alias("n"), F.count_if(hit).alias("hits")).where(F.col("hits") < LOW_HIT_RATE * F.col("n"))
+    top = accesses.where(F.col(pattern).isNotNull()).groupBy(F.col(pattern).cast("string").alias("target")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").limit(k)
+    cache = rate.select(F.lit("cache").alias("target"), F.lit("increase_cache").alias("kind"), F.lit(2).alias("priority"), "n")
+    return cache.unionByName(top.where(F.col("n") > FREQUENT).select("target", F.lit("build").alias("kind"), F.lit(3).alias("priority"), "n"))
+
+
+def build_queue(asked: DataFrame, running: DataFrame, at_once: int) -> DataFrame:
+    """``target, priority, place, starts``: what is asked for (``target, priority, seq``), each target once, the most urgent first.
+
+    Of a target's requests the first by ``seq`` holds. Targets that are ``running`` are left out, and what starts now is limited by what
+    ``at_once`` leaves beside them. The queue is as long as there are targets to build, a small table.
+    """
+    once = asked.groupBy("target").agg(F.min(F.struct("seq", "priority")).alias("x")).select("target", "x.priority", "x.seq").join(running, "target", "left_anti")
+    placed = once.withColumn("place", F.row_number().over(W.orderBy(F.desc("priority"), "seq", "target")))
+    free = running.agg(F.count("*").alias("n")).select(F.lit(at_once) - F.col("n"))
+    return placed.select("target", "priority", "place", (F.col("place") <= free.scalar()).alias("starts"))

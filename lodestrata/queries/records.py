@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestrata.functions import textscan
-from lodestrata.operators import doc_history as dh, events as ev, usage
+from lodestrata.operators import doc_history as dh, events as ev, temporal, usage
 from lodestrata.queries.registry import Registry
 from lodestrata.sources.tables import table
 
@@ -134,16 +134,29 @@ def doc_directory_churn(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("directory", "changes", twice("churn"), twice("risk"))
 
 
+_RISK = f"""r AS (SELECT a.path, a.version_id, a.severity, a.intent, a.added + a.removed AS lines, count(*) OVER (PARTITION BY a.path) AS n, (SELECT count(*) FROM v b WHERE b.path = a.path AND b.ts >= a.ts - INTERVAL 1 HOUR AND b.ts != a.ts) AS near FROM v a),
+    scored AS (SELECT path, version_id, CAST({_weights('severity', dh.SEVERITY_RISK)} * 0.3 + CASE WHEN least(1, n / 100.0) > 0.1 THEN least(1, n / 100.0) * 0.2 ELSE 0 END + CASE WHEN least(1, lines / 1000.0) > 0.3 THEN least(1, lines / 1000.0) * 0.25 ELSE 0 END
+      + CASE WHEN {_weights('intent', dh.INTENT_RISK)} > 0.5 THEN {_weights('intent', dh.INTENT_RISK)} * 0.15 ELSE 0 END + CASE WHEN near > 3 THEN least(1, near / 10.0) * 0.1 ELSE 0 END AS DOUBLE) AS score FROM r)"""
+
+
 @Q(
     "doc_risk",
-    f"""WITH {_V}, r AS (SELECT a.path, a.version_id, a.severity, a.intent, a.added + a.removed AS lines, count(*) OVER (PARTITION BY a.path) AS n, (SELECT count(*) FROM v b WHERE b.path = a.path AND b.ts >= a.ts - INTERVAL 1 HOUR AND b.ts != a.ts) AS near FROM v a)
-    SELECT path, version_id, round(CAST({_weights('severity', dh.SEVERITY_RISK)} * 0.3 + CASE WHEN least(1, n / 100.0) > 0.1 THEN least(1, n / 100.0) * 0.2 ELSE 0 END + CASE WHEN least(1, lines / 1000.0) > 0.3 THEN least(1, lines / 1000.0) * 0.25 ELSE 0 END
-      + CASE WHEN {_weights('intent', dh.INTENT_RISK)} > 0.5 THEN {_weights('intent', dh.INTENT_RISK)} * 0.15 ELSE 0 END + CASE WHEN near > 3 THEN least(1, near / 10.0) * 0.1 ELSE 0 END AS DOUBLE), 6) AS score FROM r""",
+    f"WITH {_V}, {_RISK} SELECT path, version_id, round(score, 6) AS score FROM scored",
 )
 def doc_risk(spark: SparkSession, sf: str) -> DataFrame:
     return dh.change_risk(versions_of(spark, sf)).select("path", "version_id", F.round("score", 6).alias("score"))
 
 
+@Q(
+    "doc_risk_levels",
+    f"""WITH {_V}, {_RISK}, l AS (SELECT CASE WHEN round(score, 12) < 0.3 THEN 'low' WHEN round(score, 12) < 0.6 THEN 'medium' WHEN round(score, 12) < 0.8 THEN 'high' ELSE 'critical' END AS level FROM scored)
+    SELECT level, CASE level WHEN 'low' THEN 'green' WHEN 'medium' THEN 'yellow' WHEN 'high' THEN 'orange' ELSE 'red' END AS color, count(*) AS versions FROM l GROUP BY 1""",
+)
+def doc_risk_levels(spark: SparkSession, sf: str) -> DataFrame:
+    level = dh.risk_level(F.round("score", 12)).alias("level")
+    return dh.change_risk(versions_of(spark, sf)).select(level).groupBy("level", dh.risk_color(F.col("level")).alias("color")).agg(F.count("*").alias("versions"))
+
+
 @Q("doc_impact", f"WITH {_V} SELECT path, 'high' AS risk, round(least(1, count(*) / 50), 6) AS confidence, CASE WHEN count(*) FILTER (severity = 'critical' AND intent = 'bugfix') > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS regression_probability FROM v GROUP BY 1")
 def doc_impact(spark: SparkSession, sf: str) -> DataFrame:
     return dh.predicted_impact(versions_of(spark, sf), "critical", "bugfix").withColumn("confidence", F.round("confidence", 6))
@@ -333,6 +346,13 @@ def sensitivity_level(spark: SparkSession, sf: str) -> DataFrame:
     return _texts(spark, sf).select("doc_id", textscan.sensitivity(F.col("text")).alias("level"))
 
 
+@Q("sanitized_texts", f"SELECT doc_id, CASE WHEN {_likes(textscan.SENSITIVITY[0][1], True)} THEN 'restricted' WHEN {_likes(('confidential',), True)} THEN 'confidential' WHEN {_likes(('internal only',), True)} THEN 'internal' ELSE 'public' END AS level, NOT ({_likes(textscan.CREDENTIALS)} OR {_likes(textscan.MALICIOUS)}) AS safe, TRUE AS fits FROM documents WHERE text IS NOT NULL")
+def sanitized_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """What may leave of each text: its level, whether it is safe, and that no more than 500 characters of it go."""
+    clean = _texts(spark, sf).select("doc_id", textscan.sanitized(F.col("text"), 500).alias("x"))
+    return clean.select("doc_id", "x.level", "x.safe", (F.length("x.text") <= 500).alias("fits"))
+
+
 @Q("pii_redact", r"SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
 def pii_redact(spark: SparkSession, sf: str) -> DataFrame:
     """The first of the patterns, e-mail addresses."""
@@ -385,3 +405,61 @@ def change_intent(spark: SparkSession, sf: str) -> DataFrame:
 @Q("summary_strategy", "WITH t AS (SELECT doc_id, ceil(length(text) / 4) / 100.0 AS r FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN r <= 1 THEN 'none' WHEN r < 4 THEN 'llm' WHEN r >= 10 THEN 'hierarchical' ELSE 'sliding_window' END AS strategy FROM t")
 def summary_strategy(spark: SparkSession, sf: str) -> DataFrame:
     return _texts(spark, sf).select("doc_id", textscan.summary_strategy(textscan.estimated_tokens(F.col("text")), 100).alias("strategy"))
+
+
+# --- what usage suggests -----------------------------------------------------------------------------------------------------------------
+
+_CONFIDENCE = f"""c AS (SELECT user_id AS pattern, count(*) AS n, least(1, count(*) / 10.0 * CASE WHEN {_AGE} < 1 THEN 1.0 WHEN {_AGE} < 24 THEN 0.8 ELSE 0.5 END) AS confidence
+    FROM events WHERE user_id IS NOT NULL GROUP BY 1), b AS (SELECT *, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM c)"""
+
+
+@Q("predict_confidence", f"WITH {_CONFIDENCE} SELECT pattern, n, round(confidence, 6) AS confidence, band FROM b")
+def predict_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.pattern_confidence(table(spark, sf, "events"), "user_id", _now()).withColumn("confidence", F.round("confidence", 6))
+
+
+@Q("predict_insights", f"WITH {_CONFIDENCE} SELECT count(*) AS patterns, count(*) FILTER (band = 'high') AS high, count(*) FILTER (band = 'medium') AS medium, count(*) FILTER (band = 'low') AS low, round(avg(confidence), 6) AS mean_confidence FROM b")
+def predict_insights(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.insights(usage.pattern_confidence(table(spark, sf, "events"), "user_id", _now())).withColumn("mean_confidence", F.round("mean_confidence", 6))
+
+
+_SUGGESTED = """s AS (SELECT 'cache' AS target, 'increase_cache' AS kind, 2 AS priority, count(*) AS n FROM events HAVING count(*) FILTER (value < 40) < 0.5 * count(*)
+    UNION ALL SELECT * FROM (SELECT event_type, 'build', 3, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, event_type LIMIT 5) WHERE n > 1000)"""
+
+
+def _suggested(spark: SparkSession, sf: str) -> DataFrame:
+    """Accesses of less than 40 ms count as hits."""
+    return usage.suggestions(table(spark, sf, "events"), "event_type", F.col("value") < 40)
+
+
+@Q("usage_suggestions", f"WITH {_SUGGESTED} SELECT * FROM s")
+def usage_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    return _suggested(spark, sf)
+
+
+@Q(
+    "build_queue",
+    f"""WITH {_SUGGESTED}, q AS (SELECT target, priority, n AS seq FROM s UNION ALL SELECT event_type, 1, count(*) FROM events WHERE event_type IS NOT NULL GROUP BY 1),
+    o AS (SELECT target, arg_min(priority, (seq, priority)) AS priority, min(seq) AS seq FROM q WHERE target != 'view' GROUP BY 1)
+    SELECT target, priority, CAST(row_number() OVER (ORDER BY priority DESC, seq, target) AS INTEGER) AS place, row_number() OVER (ORDER BY priority DESC, seq, target) <= 2 AS starts FROM o""",
+)
+def build_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """What usage suggests, and each type once more with less urgency; views are being built, and three builds may run at once."""
+    asked = _suggested(spark, sf).select("target", "priority", F.col("n").alias("seq"))
+    again = table(spark, sf, "events").where("event_type is not null").groupBy(F.col("event_type").alias("target")).agg(F.lit(1).alias("priority"), F.count("*").alias("seq"))
+    return usage.build_queue(asked.unionByName(again), spark.createDataFrame([("view",)], "target string"), 3)
+
+
+@Q("accuracy_levels", "SELECT CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END AS level, count(*) AS results FROM relevance_factors WHERE confidence IS NOT NULL AND NOT isnan(confidence) GROUP BY 1")
+def accuracy_levels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "relevance_factors").where("confidence is not null and not isnan(confidence)")
+    return rows.groupBy(usage.accuracy_level(F.col("confidence")).alias("level")).agg(F.count("*").alias("results"))
+
+
+@Q("retained_changes", "SELECT share, count(*) AS changes FROM (SELECT epoch_us(TIMESTAMP '2024-07-01') - epoch_us(ts) AS age FROM event_index WHERE ts IS NOT NULL), (SELECT unnest([0, 1]) AS share) WHERE age <= 90 * 86400000000 AND (age <= 30 * 86400000000 OR share = 1) GROUP BY 1")
+def retained_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What retention keeps if none, and if all, of what is older than 30 days but not than 90 is sampled."""
+    events = table(spark, sf, "event_index").where("ts is not null").withColumn("seq", F.col("event_id"))
+    now = F.lit("2024-07-01 00:00:00").cast("timestamp_ntz")
+    kept = [temporal.retained(events, now, sample=float(x)).select(F.lit(x).alias("share")) for x in (0, 1)]
+    return kept[0].unionByName(kept[1]).groupBy("share").agg(F.count("*").alias("changes"))

@@ -338,6 +338,21 @@ def series_retention_counts(spark: SparkSession, sf: str) -> DataFrame:
     return series.retention_counts(table(spark, sf, "event_index"), when(_NOW), 30, 100)
 
 
+@Q(
+    "series_retention_report",
+    f"""WITH d AS (SELECT ts, length(payload) AS size, (epoch_us(TIMESTAMP '{_NOW}') // 1000000 - epoch_us(ts) // 1000000) AS age FROM event_index WHERE ts IS NOT NULL AND payload IS NOT NULL),
+    w AS (SELECT count(*) AS points, sum(size) AS bytes, count(*) FILTER (age / 86400.0 < 30) AS raw, coalesce(sum(size) FILTER (age / 86400.0 < 30), 0) AS raw_bytes FROM d),
+    t AS (SELECT count(DISTINCT (CASE WHEN age < 90 * 86400 THEN 300 WHEN age < 365 * 86400 THEN 3600 ELSE 86400 END, epoch_us(ts) // 1000000 // CASE WHEN age < 90 * 86400 THEN 300 WHEN age < 365 * 86400 THEN 3600 ELSE 86400 END)) AS thin
+          FROM d WHERE age / 86400.0 >= 30 AND age / 86400.0 < 100)
+    SELECT points, raw + thin AS points_after, round((1 - (raw + thin) / points) * 100, 4) AS reduction_percent, round((bytes - raw_bytes - thin * bytes / points) / 1e6, 6) AS mb_saved FROM w, t""",
+)
+def series_retention_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What retention would save: points of 30 to 100 days are thinned by their age, older ones archived."""
+    events = table(spark, sf, "event_index").where("payload is not null").withColumn("value", F.lit(1.0))
+    report = series.retention_report(events, when(_NOW), F.length("payload"), 30, 100)
+    return report.select("points", "points_after", F.round("reduction_percent", 4).alias("reduction_percent"), F.round("mb_saved", 6).alias("mb_saved"))
+
+
 # --- anomalies ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -451,6 +466,13 @@ def perf_trend(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("event_type", F.round("recent", 5).alias("recent"), F.round("change", 6).alias("change"))
 
 
+@Q("perf_restorations", f"WITH {_SAMPLES}, k AS (SELECT event_type, avg(avg_latency) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS r FROM s) WHERE r <= 5 GROUP BY 1), c AS (SELECT *, (recent - base_avg_latency) / base_avg_latency AS change FROM k JOIN b USING (event_type)) SELECT event_type, round(recent, 5) AS current, round(base_avg_latency, 5) AS target, round(-change * 100, 5) AS loss_percent, CASE WHEN change < -0.2 THEN 'high' ELSE 'medium' END AS priority FROM c WHERE change < -0.0001")
+def perf_restorations(spark: SparkSession, sf: str) -> DataFrame:
+    samples, base = _samples(spark, sf)
+    lost = anomaly.restorations(samples, base.select("event_type", F.col("base_avg_latency").alias("base")), ["event_type"], "avg_latency", 5, 0.0001)
+    return lost.select("event_type", *[F.round(c, 5).alias(c) for c in ("current", "target", "loss_percent")], "priority")
+
+
 # --- questions ------------------------------------------------------------------------------------------------------------------------
 
 
