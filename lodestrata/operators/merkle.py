@@ -76,15 +76,16 @@ def diff_rows(rows: DataFrame, depth: int) -> DataFrame:
     return sides.where(~F.col("old.hash").eqNullSafe(F.col("new.hash"))).select("at", "key", F.col("old.row").alias("old"), F.col("new.row").alias("new"))
 
 
-def append_snapshot(history: DataFrame, previous: DataFrame, current: DataFrame, at: Column, depth: int | None = None) -> DataFrame:
+def append_snapshot(history: DataFrame, previous: DataFrame, current: DataFrame, at: Column, depth: int | None = None, hashed: str | None = None) -> DataFrame:
     """``history`` with what ``current``, a full snapshot taken ``at``, brings against the snapshot ``previous``.
 
     Snapshots have ``key`` and ``state``; ``history`` has ``key, state, valid_from, valid_to``. A key's open version is closed where its
     state changed or it disappeared; a new version is opened where it changed or appeared. Keys are unique in a snapshot and
     compare as values; null states are states. The tree is as deep as the number of keys asks for, if ``depth`` isn't given.
+    A snapshot that is kept with the :func:`state_hash` of its rows names that column as ``hashed``, so that no state is read twice.
     """
     depth = depth_for(current.count()) if depth is None else depth
-    side = lambda df, newer: df.select(F.lit(0).alias("at"), F.lit(newer).alias("newer"), df["key"], state_hash(df["state"]).alias("hash"), F.struct(df["state"]).alias("row"))
+    side = lambda df, newer: df.select(F.lit(0).alias("at"), F.lit(newer).alias("newer"), df["key"], (state_hash(df["state"]) if hashed is None else df[hashed]).alias("hash"), F.struct(df["state"]).alias("row"))
     changed = diff_rows(side(previous, False).unionByName(side(current, True)), depth)
     closed = changed.where("old is not null").select("key", F.lit(True).alias("closes"))
     opened = changed.where("new is not null").select("key", F.col("new.state").alias("state"), at.alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lodestrata.plans.ranking import BIG_GROUP, null_safe_join, value_blocks
+from lodestrata.plans.ranking import BIG_GROUP, lagged, null_safe_join, place_of, running_sums, value_blocks
 
 ENTITY = ("entity_ns", "entity_id")
 
@@ -48,8 +48,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str = "t
     theirs = right.where(F.col(ts).isNotNull())
     a = left.select(*by, F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_s"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*rows).alias("x")).schema[0].dataType).alias("_r"))
     b = theirs.select(*by, F.col(ts).alias("_t"), F.lit(0).alias("_side"), (-F.col(seq)).cast("long").alias("_s"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema[0].dataType).alias("_l"), F.struct(*rows).alias("_r"))
-    timed = left.schema[ts].dataType.typeName().startswith("timestamp")
-    both = a.unionByName(b).withColumn("_x", (F.unix_micros(F.col("_t").cast("timestamp")) if timed else F.col("_t")).cast("double"))
+    both = a.unionByName(b)
+    both = both.withColumn("_x", place_of(both, "_t"))
     blocked, split = value_blocks(both, by, "_x", big)
     keys = [*by, "block"]
     order = W.partitionBy(*(keys if split else by)).orderBy("_t", "_side", "_s").rowsBetween(W.unboundedPreceding, 0)
@@ -101,11 +101,11 @@ def numeric(changes: DataFrame) -> DataFrame:
     return changes.withColumn("value", F.col("new_value").try_cast("double")).where("value is not null and not isnan(value)")
 
 
-def rates(changes: DataFrame, start: Column, end: Column, per_seconds: int) -> DataFrame:
+def rates(changes: DataFrame, start: Column, end: Column, per_seconds: int, big: int = BIG_GROUP) -> DataFrame:
     """``avg_rate, max_rate, min_rate, steps`` of each attribute: change of value per ``per_seconds`` between neighbours in time."""
-    order = W.partitionBy(*ENTITY, "key").orderBy("ts", "seq")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    steps = numeric(_between(changes, start, end)).select(*ENTITY, "key", (F.col("value") - F.lag("value").over(order)).alias("dv"), (micros - F.lag(micros).over(order)).alias("dt"))
+    timed = numeric(_between(changes, start, end)).select(*ENTITY, "key", "ts", "seq", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    pairs = lagged(timed, [*ENTITY, "key"], ["ts", "seq"], {"value": "before", "at": "since"}, big)
+    steps = pairs.select(*ENTITY, "key", (F.col("value") - F.col("before")).alias("dv"), (F.col("at") - F.col("since")).alias("dt"))
     rate = F.col("dv") / (F.col("dt") / F.lit(1e6)) * F.lit(float(per_seconds))
     return steps.where("dt > 0").withColumn("rate", rate).groupBy(*ENTITY, "key").agg(F.avg("rate").alias("avg_rate"), F.max("rate").alias("max_rate"), F.min("rate").alias("min_rate"), F.count("*").alias("steps"))
 
@@ -131,10 +131,14 @@ def snapshot_as_of(snapshots: DataFrame, at: Column, keys: Sequence[str]) -> Dat
     return snapshots.where(F.col("ts") <= at).groupBy(*keys).agg(F.max_by(F.struct(*kept), F.struct("ts", "version", "received_at", "id")).alias("x")).select(*keys, *[F.col(f"x.{c}").alias(c) for c in kept])
 
 
-def numbered_snapshots(captures: DataFrame, keys: Sequence[str], order: Sequence[str], id_column: str) -> DataFrame:
-    """Captures as a chain: ``chain_version`` from 1 in ``order``, and ``chain_parent``, the id of the one before."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return captures.withColumn("chain_version", F.row_number().over(w)).withColumn("chain_parent", F.lag(id_column).over(w))
+def numbered_snapshots(captures: DataFrame, keys: Sequence[str], order: Sequence[str], id_column: str, big: int = BIG_GROUP) -> DataFrame:
+    """Captures, cut or cheap to read, as a chain: ``chain_version`` from 1 in ``order``, and ``chain_parent``, the id of the one before.
+
+    The first of ``order`` is a time or number, by which long chains are taken in blocks.
+    """
+    linked = lagged(captures, keys, order, {id_column: "chain_parent"}, big).withColumn("_x", place_of(captures, order[0])).withColumn("_one", F.lit(1))
+    blocked, split = value_blocks(linked, keys, "_x", big)
+    return running_sums(blocked, keys, order, {"_one": "chain_version"}, split).withColumn("chain_version", F.col("chain_version").cast("int")).drop("_x", "_one", "block")
 
 
 def field_delta(older: Column, newer: Column) -> Column:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestrata.plans.ranking import BIG_GROUP, place_of, running_sums, value_blocks
+
 
 def _hours(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(3.6e9)
@@ -57,9 +59,13 @@ def predictions_by_hour(accesses: DataFrame, pattern: str, k: int) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(W.partitionBy("hour").orderBy(F.desc("n"), "pattern"))).where(F.col("r") <= k).drop("r")
 
 
-def running_average(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """``rows`` with ``running``, the mean of the values so far."""
-    return rows.withColumn("running", F.avg(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+def running_average(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, big: int = BIG_GROUP) -> DataFrame:
+    """``rows``, cut or cheap to read, with ``running``, the mean of the values so far; the first of ``order`` is a time or number, by which long
+    series are taken in blocks."""
+    counted = rows.withColumns({"_x": place_of(rows, order[0]), "_v": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "_n": F.col(value).isNotNull().cast("long")})
+    blocked, split = value_blocks(counted, by, "_x", big)
+    summed = running_sums(blocked, by, order, {"_v": "_sum", "_n": "_count"}, split)
+    return summed.withColumn("running", F.try_divide("_sum", "_count")).select(*rows.columns, "running")
 
 
 def compared_arms(trials: DataFrame, arm: str, metric: str, least: int, smaller_wins: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from lodestrata.functions.jsonstate import state_hash
 from lodestrata.operators.change_feed import apply_feed
 from lodestrata.operators.entity_features import entity_type_stats, feature_table, normal_type
 from lodestrata.operators.hierarchy import descendants, hierarchies, key_number, number_key
@@ -147,9 +148,9 @@ _LIVES = f"""{_HELD},
 
 
 def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """``no, key, state``: each delivery as a full snapshot."""
+    """``no, key, state, hash``: each delivery as a full snapshot."""
     rows = table(spark, sf, "snapshot_deliveries").where("delivery_no is not null").select(F.col("delivery_no").alias("no"), F.struct("entity_namespace", "entity_local_id").alias("key"), "delivered_at", "state_data")
-    return rows.groupBy("no", "key").agg(F.max(F.struct("delivered_at", "state_data")).alias("x")).select("no", "key", F.col("x.state_data").alias("state"))
+    return rows.groupBy("no", "key").agg(F.max(F.struct("delivered_at", "state_data")).alias("x")).select("no", "key", F.col("x.state_data").alias("state"), state_hash(F.col("x.state_data")).alias("hash"))
 
 
 @REGISTRY.query("p2_append_snapshot", f"WITH {_LIVES} SELECT entity_namespace, entity_local_id, a.delivery_no AS valid_from, b.delivery_no AS valid_to FROM spans s JOIN numbers a ON a.nth = s.first LEFT JOIN numbers b ON b.nth = s.last + 1")
@@ -161,7 +162,7 @@ def p2_append_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     previous = snapshots.where("false")
     for no in numbers:
         current = snapshots.where(F.col("no") == no)
-        history = cut(append_snapshot(history, previous, current, F.timestamp_seconds(F.lit(no))))
+        history = cut(append_snapshot(history, previous, current, F.timestamp_seconds(F.lit(no)), hashed="hash"))
         previous = current
     seconds = lambda c: F.unix_seconds(c).cast("int").alias(c)
     return history.select("key.entity_namespace", "key.entity_local_id", seconds("valid_from"), seconds("valid_to"))

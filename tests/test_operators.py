@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import ids, textscan
 from lodestrata.functions.linediff import hunks_of, patched
 from lodestrata.functions.registry import Extensions
-from lodestrata.operators import anomaly, derived, doc_history, graph, predicates, ranking, search, series, temporal, timetravel, vector
+from lodestrata.operators import anomaly, derived, doc_history, graph, predicates, ranking, search, series, temporal, timetravel, usage, vector
 from lodestrata.plans import nl
 from lodestrata.sources import export
 from lodestrata.sources.commit_log import CommitConflict, CommitLog, WriteBusy
@@ -221,6 +221,23 @@ def test_asof_join_in_blocks(spark, big):
         assert got[k] == (max(fit)[2] if fit else None), (g, t, k)
 
 
+@pytest.mark.parametrize("big", [4, 10**6])
+def test_neighbours_in_blocks(spark, big):
+    rng = random.Random(big)
+    rows = [(i, rng.choice(["a", "a", None]), at(rng.randrange(60)), rng.choice([None, float(i)])) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, g string, ts timestamp_ntz, value double")
+    chains = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        chains.setdefault(r[1], []).append(r)
+    want = {r[0]: (n + 1, chain[n - 1][0] if n else None, (lambda v: sum(v) / len(v) if v else None)([x[3] for x in chain[: n + 1] if x[3] is not None])) for chain in chains.values() for n, r in enumerate(chain)}
+    chained = {r.id: (r.chain_version, r.chain_parent) for r in temporal.numbered_snapshots(df, ["g"], ["ts", "id"], "id", big).collect()}
+    assert chained == {i: w[:2] for i, w in want.items()}
+    assert {r.id: r.running for r in usage.running_average(df, ["g"], ["ts", "id"], "value", big).collect()} == {i: w[2] and pytest.approx(w[2]) for i, w in want.items()}
+    log = changes(spark, [(t * 7 % 50, rng.choice("ab"), "k", str(rng.randrange(9))) for t in range(50)])
+    both = [sorted(tuple(r) for r in temporal.rates(log, when(0), when(99), 60, b).collect()) for b in (big, 10**9)]
+    assert [x[:4] + (round(x[4], 9),) for x in both[0]] == [x[:4] + (round(x[4], 9),) for x in both[1]] and len(both[0]) == 2
+
+
 def test_places_and_rollups_in_blocks(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(rng.choice(["a", None]), at(rng.randrange(7200)), rng.choice([None, float(rng.randrange(50)), rng.random()])) for _ in range(400)]
