@@ -219,7 +219,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
     narrow = documents.select(documents[key].alias(key), documents[text].alias("text")).where(f"`{key}` is not null and text is not null")
     schema = T.StructType([T.StructField(key, narrow.schema[0].dataType), T.StructField("item_id", T.LongType()), T.StructField("run_words", T.IntegerType()), T.StructField("score", T.DoubleType())])
     spark = documents.sparkSession
-    listed = items.select(items[item].cast("long").alias("item"), items[item_text].alias("text")).where("item is not null and text is not null")
+    listed = items.select(items[item].cast("long").alias("item"), items[item_text].alias("text")).where("item is not null and text is not null").distinct()
     total = listed.agg(F.sum(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")))).first()[0] or 0
     portion = F.pmod(F.xxhash64("item", "text"), F.lit(math.ceil(total / INDEX_WORDS) or 1)).alias("portion")
 

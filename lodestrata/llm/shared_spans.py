@@ -271,7 +271,8 @@ def shared_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text",
     members = _members(documents, key, text, span).distinct()
     marks = [F.bit_xor(F.xxhash64(F.lit(seed), "cls")).alias(f"x{seed}") for seed in (1, 2)]
     sets = windows.groupBy("sig").agg(F.count("*").alias("n"), *marks).groupBy("n", "x1", "x2").agg(F.min("sig").alias("sig"))
-    crowded = pairs_within(windows.join(sets.select("sig"), "sig", "left_semi"), "sig", "cls")
+    chosen = cut(windows.select("sig", "cls").join(broadcast_if_bounded(sets.select("sig")), "sig", "left_semi"))
+    crowded = pairs_within(chosen, "sig", "cls")
     linked = pairs.select("a", "b").union(crowded).distinct()
     # Only members of linked classes, or of classes with copies, are needed.
     left, right = members.select(F.col("cls").alias("a"), F.col("id").alias("p")), members.select(F.col("cls").alias("b"), F.col("id").alias("q"))
