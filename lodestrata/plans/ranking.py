@@ -16,24 +16,27 @@ BIG_GROUP, BLOCKS = 100_000, 256
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """A join on equal keys in which nulls are equal; the keys come from the left."""
+    """A join on equal keys in which nulls are equal; the keys come from the left. Without keys the right side has one row."""
     own = [f"_k{j}" for j in range(len(keys))]
     other = right.select(*[F.col(k).alias(c) for k, c in zip(keys, own)], *[c for c in right.columns if c not in keys])
-    return left.join(other, reduce(and_, [F.col(k).eqNullSafe(F.col(c)) for k, c in zip(keys, own)]), how).drop(*own)
+    return left.join(other, reduce(and_, [F.col(k).eqNullSafe(F.col(c)) for k, c in zip(keys, own)], F.lit(True)), how).drop(*own)
 
 
 def value_blocks(df: DataFrame, groups: Sequence[str], value: str, big: int = BIG_GROUP, blocks: int = BLOCKS) -> tuple[DataFrame, bool]:
     """``df``, which must be cut or cheap to read, with ``block``, rising with ``value`` within a group, and whether any group has several.
 
     Groups of more than ``big`` rows are split at approximate quantiles, found by mergeable sketches. Any splits give
-    exact results, as equal values share a block.
+    exact results, as equal values share a block. Null groups are groups, and without groups all rows are one.
     """
+    if not groups:
+        out, split = value_blocks(df.withColumn("_all", F.lit(0)), ["_all"], value, big, blocks)
+        return out.drop("_all"), split
     sizes = df.groupBy(*groups).count().where(F.col("count") > big).select(*groups)
     if sizes.isEmpty():
         return df.withColumn("block", F.lit(0)), False
     at = [i / blocks for i in range(1, blocks)]
-    splits = df.join(broadcast_if_bounded(sizes), list(groups), "left_semi").groupBy(*groups).agg(F.percentile_approx(value, at, 10_000).alias("splits"))
-    split = df.join(broadcast_if_bounded(splits, 10_000), list(groups), "left")
+    splits = null_safe_join(df, broadcast_if_bounded(sizes), groups, "left_semi").groupBy(*groups).agg(F.percentile_approx(value, at, 10_000).alias("splits"))
+    split = null_safe_join(df, broadcast_if_bounded(splits, 10_000), groups, "left")
     block = F.when(F.col("splits").isNull(), 0).otherwise(F.size(F.filter("splits", lambda b: b < F.col(value))))
     return split.withColumn("block", block).drop("splits"), True
 

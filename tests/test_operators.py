@@ -14,6 +14,7 @@ from lodestrata.functions.linediff import hunks_of, patched
 from lodestrata.functions.registry import Extensions
 from lodestrata.operators import anomaly, derived, doc_history, graph, predicates, ranking, search, series, temporal, timetravel, usage, vector
 from lodestrata.plans import nl
+from lodestrata.plans.ranking import lagged, running_sums, value_blocks
 from lodestrata.sources import export
 from lodestrata.sources.commit_log import CommitConflict, CommitLog, WriteBusy
 from lodestrata.streaming import run, stateful, windows
@@ -238,6 +239,18 @@ def test_neighbours_in_blocks(spark, big):
     assert [x[:4] + (round(x[4], 9),) for x in both[0]] == [x[:4] + (round(x[4], 9),) for x in both[1]] and len(both[0]) == 2
 
 
+def test_one_group_of_all(spark):
+    df = points(spark, range(100))
+    for big in (10, 1000):
+        blocked, split = value_blocks(df.withColumn("_one", F.lit(1)), [], "value", big, 8)
+        assert split == (big == 10) and blocked.select("block").distinct().count() == (8 if split else 1)
+        assert [r.i for r in running_sums(blocked, [], ["value"], {"_one": "i"}, split).orderBy("value").collect()] == list(range(1, 101))
+        assert [r.was for r in lagged(df, [], ["ts"], {"event_id": "was"}, big).orderBy("value").collect()] == [None, *range(99)]
+    assert anomaly.ema_anomalies(df, [], ["ts", "event_id"]).columns == [*df.columns, "ema", "deviation"]
+    hot = spark.createDataFrame([(None, float(i)) for i in range(50)], "g string, value double")  # a null group is split too
+    assert value_blocks(hot, ["g"], "value", 10, 8)[0].select("block").distinct().count() == 8
+
+
 def test_places_and_rollups_in_blocks(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(rng.choice(["a", None]), at(rng.randrange(7200)), rng.choice([None, float(rng.randrange(50)), rng.random()])) for _ in range(400)]
