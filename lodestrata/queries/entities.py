@@ -221,6 +221,17 @@ for _name, _m in (("knn_each", "euclidean"), ("knn_each_cosine", "cosine"), ("kn
 REGISTRY.add("knn_each_threshold", lambda spark, sf: _knn_each(spark, sf, "cosine", None, 0.8), _each("cosine", "distance <= 0.8"))
 
 
+@Q("knn_indexed", "SELECT count(*) AS queries, TRUE AS reached FROM embeddings WHERE vec_id % 50 = 0 AND embedding IS NOT NULL")
+def knn_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the index of cells finds nine of ten of the five nearest vectors of every 50th vector, beside the exact search."""
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0")
+    exact = vector.nearest_each(vectors, asked, 5).select("query_id", "neighbor_id")
+    found = vector.nearest_indexed(vectors, asked, 5, cells=32).select("query_id", "neighbor_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "neighbor_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.countDistinct("query_id").alias("queries"))
+    return both.select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
 # --- graphs: nation to nation by orders' suppliers ---------------------------------------------------------------------------------------
 
 

@@ -239,6 +239,28 @@ def test_neighbours_in_blocks(spark, big):
     assert [x[:4] + (round(x[4], 9),) for x in both[0]] == [x[:4] + (round(x[4], 9),) for x in both[1]] and len(both[0]) == 2
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_indexed_neighbours(spark, monkeypatch, metric):
+    monkeypatch.setattr(vector, "CELL_ROWS", 40)
+    rng = np.random.default_rng(3)
+    hubs = rng.normal(size=(12, 16)) * 5
+    x = hubs[rng.integers(0, 12, 900)] + rng.normal(size=(900, 16))
+    x[:300] = hubs[0] + rng.normal(size=(300, 16)) * 0.5  # one cell holds a third
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000, None), (1001, [1.0, 2.0]), (1002, x[5].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 10 = 0")
+    centres = vector.fit_cells(df, 24, metric)
+    probes, recall = vector.probes_for(df, asked, centres, 5, 0.95, metric)
+    assert recall >= 0.95 and probes <= 12  # structure lets few cells suffice
+    exact = {(r.query_id, r.neighbor_id): r.distance for r in vector.nearest_each(df, asked, 5, metric).collect()}
+    found = {(r.query_id, r.neighbor_id): r.distance for r in vector.nearest_indexed(df, asked, 5, metric, cells=24).collect()}
+    same = exact.keys() & found.keys()
+    assert len(same) >= 0.9 * len(exact) and all(found[p] == pytest.approx(exact[p]) for p in same)
+    assert vector.nearest_indexed(df.limit(0), asked, 5, metric).collect() == [] and vector.nearest_indexed(df, asked.limit(0), 5, metric).collect() == []
+    with pytest.raises(ValueError):
+        vector.nearest_indexed(df, asked, 5, "dot")
+
+
 def test_one_group_of_all(spark):
     df = points(spark, range(100))
     for big in (10, 1000):
