@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The substrings that are looked for, and what they mean.
 SQL_INJECTION = ("' OR '1'='1", "' OR 1=1--", "1'1", "admin'--", "'; DROP TABLE", "UNION SELECT", "1' ORDER BY", "' AND 1=1--", "'; EXEC xp_cmdshell")
@@ -51,6 +53,61 @@ def findings(text: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(text.alias("text"), F.lower(text).alias("low"))), kinds), F.lit(0))
 
 
+#: Kinds of risk with their substrings, and whether case matters.
+DICTIONARY = (("sql_injection", SQL_INJECTION, False), ("xss", XSS, False), ("path_traversal", PATH_TRAVERSAL, True), ("command_injection", COMMANDS, True), ("sensitive_data", SENSITIVE, False))
+
+
+def _automaton(needles: set[str]):
+    """A search for all needles in one pass over a text, as (end, needle) pairs in order of ends."""
+    try:
+        import ahocorasick
+    except ImportError:  # as slow as there are needles
+        def search(text: str) -> list[tuple[int, str]]:
+            return sorted((m.start() + len(n) - 1, n) for n in needles for m in re.finditer(f"(?={re.escape(n)})", text))
+
+        return search
+    machine = ahocorasick.Automaton()
+    for n in needles:
+        machine.add_word(n, n)
+    machine.make_automaton()
+    return machine.iter
+
+
+def occurrences(texts: DataFrame, key: str, text: str, dictionary: Sequence[tuple[str, Sequence[str], bool]] = DICTIONARY) -> DataFrame:
+    """``key, kind, needle, n, first``: how often a text holds each needle, without overlaps from the left, and where first (from 1).
+
+    ``dictionary`` has kinds, their needles, and whether case matters; needles whose case doesn't come out in lower case and are looked for in the
+    lower-cased text. One pass over a text finds all needles, however many; the dictionary goes to the tasks with the function and must
+    fit them. Null texts hold nothing, empty needles are left out, rows keep their key even if it is null or repeated.
+    """
+    exact, folded = {}, {}
+    for kind, needles, cased in dictionary:
+        for n in filter(None, needles):
+            into = exact if cased else folded
+            kinds = into.setdefault(n if cased else n.lower(), [])
+            if kind not in kinds:
+                kinds.append(kind)
+    out = T.StructType([T.StructField("key", texts.schema[key].dataType), T.StructField("kind", T.StringType()), T.StructField("needle", T.StringType()), T.StructField("n", T.LongType()), T.StructField("first", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches = [(kinds, _automaton(set(kinds)), fold) for kinds, fold in ((exact, False), (folded, True)) if kinds]
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, body in enumerate(batch.column(1).to_pylist()):
+                for kinds, search, fold in searches if body else ():
+                    seen: dict[str, list[int]] = {}
+                    for end, n in search(body.lower() if fold else body):
+                        begin = end - len(n) + 1
+                        held = seen.setdefault(n, [0, begin, 0])
+                        if begin >= held[2]:
+                            held[0], held[2] = held[0] + 1, end + 1
+                    rows += [(k, kind, n, count, first + 1) for n, (count, first, _) in seen.items() for kind in kinds[n]]
+            at, *columns = zip(*rows) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))]], ["key", "kind", "needle", "n", "first"])
+
+    return texts.select(texts[key].alias("key"), texts[text].alias("text")).mapInArrow(run, out)
+
+
 def severity_rank(name: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in SEVERITY_RANKS.items() for x in pair]), F.lower(name))
 

@@ -336,6 +336,18 @@ def scan_security(spark: SparkSession, sf: str) -> DataFrame:
     return _texts(spark, sf).select("doc_id", F.explode(textscan.findings(F.col("text"))).alias("x")).select("doc_id", "x.kind")
 
 
+_NEEDLES = ", ".join("({!r}, '{}', {})".format(kind, (n if cased else n.lower()).replace("'", "''"), str(cased).upper()) for kind, needles, cased in textscan.DICTIONARY for n in dict.fromkeys(x if cased else x.lower() for x in needles))
+
+
+@Q(
+    "scan_occurrences",
+    f"""WITH w(kind, needle, cased) AS (VALUES {_NEEDLES}), t AS (SELECT doc_id, kind, needle, CASE WHEN cased THEN text ELSE lower(text) END AS text FROM documents, w WHERE text IS NOT NULL)
+    SELECT doc_id, kind, needle, CAST((length(text) - length(replace(text, needle, ''))) / length(needle) AS BIGINT) AS n, strpos(text, needle) AS first FROM t WHERE contains(text, needle)""",
+)
+def scan_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    return textscan.occurrences(_texts(spark, sf), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
 @Q("scan_secrets", f"SELECT doc_id, {_likes(textscan.CREDENTIALS)} AS credentials, {_likes(textscan.MALICIOUS)} AS malicious FROM documents WHERE text IS NOT NULL")
 def scan_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return _texts(spark, sf).select("doc_id", textscan.has_credentials(F.col("text")).alias("credentials"), textscan.has_malicious_code(F.col("text")).alias("malicious"))

@@ -2,6 +2,7 @@
 
 import json
 import random
+import sys
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -347,6 +348,18 @@ def test_text_scans(spark):
     assert one("ns:a:b", ids.parse_entity_id) == ("ns", "a:b") and one("none", ids.parse_entity_id) is None
 
 
+def test_occurrences(spark, monkeypatch):
+    rng = random.Random(8)
+    dictionary = [("x", ["aa", "ab", "b", ""], True), ("y", ["AB", "aba"], False), ("z", ["aa"], True)]
+    texts = ["".join(rng.choice("aAbBé ") for _ in range(rng.randrange(30))) for _ in range(60)] + ["", None, "aaaa"]
+    df = spark.createDataFrame([(k % 50, t, k) for k, t in enumerate(texts)], "key int, text string, n int")
+    want = sorted((k % 50, kind, n, body.count(n), body.index(n) + 1) for k, t in enumerate(texts) if t for kind, needles, cased in dictionary for n, body in ((x if cased else x.lower(), t if cased else t.lower()) for x in needles) if n and n in body)
+    assert sorted(tuple(r) for r in textscan.occurrences(df, "key", "text", dictionary).collect()) == want
+    assert textscan.occurrences(df.limit(0), "key", "text").collect() == [] and textscan.occurrences(df, "key", "text", []).collect() == []
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)  # without the package
+    assert sorted(textscan._automaton({"aa", "ab"})("aaab")) == [(1, "aa"), (2, "aa"), (3, "ab")]
+
+
 def test_ranking(spark):
     assert spark.createDataFrame([("a b b",)], "t string").select(ranking.overlap(F.col("t"), "b c b a")).first()[0] == 0.75
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate([0.5, 0.9, 0.5, None])], "g int, i int, score double")
