@@ -57,20 +57,18 @@ class ItemIndex:
     A word's BM25 weight in an item is divided by the item's threshold: the least score that a passage holding one of the item's
     word runs can have. So 1 is the threshold of every item, and retrieving all items that reach it loses none.
 
-    A run's pivot is its rarest word, of equally rare ones the one met first. A passage that holds the run has the same pivot, so that
-    only the postings of a passage's pivot are walked, and these list an item under the pivots of its runs only: the shortest lists of the
-    passage, whatever the number of items.
+    A run's pivot is its rarest pair of neighbouring words, of equally rare ones the pair met first (its word, if it is one word). A passage that
+    holds the run has the same pivot, so that only the postings of a passage's pivot are walked, and these list an item under the pivots
+    of its runs only: the shortest lists of the passage, whatever the number of items.
     """
 
     def __init__(self, items: list[tuple[int, list[bytes]]], run: int) -> None:
         spelled: dict[bytes, int] = {}
         coded = [np.array([spelled.setdefault(w, len(spelled)) for w in ws], np.int64) for _, ws in items]
         df = np.bincount(np.concatenate([np.unique(c) for c in coded]), minlength=len(spelled))
-        self.vocabulary = spelled
-        # From the rarest word on; the last place is that of all unknown words.
-        self.rank = np.append(np.argsort(np.lexsort((np.arange(len(df)), df))), len(df)).astype(np.int32)
-        # Similar items stand next to one another, so that a block's bound is near its items' weights.
-        order = sorted(range(len(items)), key=lambda k: (int(self.rank[coded[k]].min()), items[k][0]))
+        self.vocabulary, self.n_words = spelled, len(df) + 1  # the last word is any unknown one
+        # Similar items, by their rarest word, stand next to one another, so that a block's bound is near its items' weights.
+        order = sorted(range(len(items)), key=lambda k: (min(zip(df[coded[k]].tolist(), coded[k].tolist())), items[k][0]))
         self.ids, coded = [items[k][0] for k in order], [coded[k] for k in order]
         size = np.array([len(c) for c in coded])
         self.flat, self.starts = np.concatenate(coded).astype(np.int32), np.cumsum(size) - size
@@ -82,11 +80,20 @@ class ItemIndex:
         word, item = keys // len(items), keys % len(items)
         idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
         weight = idf[word] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / size.mean()))
-        least, postings = self._runs(weight[place], of)
+        # Pairs of neighbours within an item, from the rarest on, and a table of bits that most other pairs fail.
+        inside = np.append(of[1:] == of[:-1], False)
+        codes = np.append(self.flat[:-1] * np.int64(self.n_words) + self.flat[1:], 0)
+        self.pairs, pair_of, n_of = np.unique(codes[inside], return_inverse=True, return_counts=True)
+        self.rank = np.argsort(np.lexsort((np.arange(len(n_of)), n_of))).astype(np.int32)
+        self.bits = np.zeros(1 << max(10, int(8 * len(self.pairs)).bit_length()), bool)
+        self.bits[self._bit(self.pairs)] = True
+        pair = np.full(len(self.flat), -1)
+        pair[inside] = pair_of
+        least, postings = self._runs(weight[place], of, pair)
         self.keys, self.weights = keys, (weight / least[item]).astype(np.float32)
         blocks, first = np.unique(word * self.n_blocks + item // BLOCK, return_index=True)
         self.block_keys, self.most = blocks, np.maximum.reduceat(self.weights, first)
-        # The largest weight of a word among items of each size of run, and their postings by pivot.
+        # The largest weight of a word among items of each size of run, and their postings by pivot: a pair, or a word for runs of one.
         self.sizes = np.unique(self.need).tolist()
         self.bound = {n: np.zeros(len(df) + 1, np.float32) for n in self.sizes}
         self.slot, self.list_starts, self.list_items = {}, {}, {}
@@ -94,13 +101,29 @@ class ItemIndex:
             mine = self.need[item] == n
             np.maximum.at(self.bound[n], word[mine], self.weights[mine])
             pivots, first = np.unique(postings[n] // len(items), return_index=True)
-            self.slot[n] = np.full(len(df) + 1, -1, np.int32)
+            self.slot[n] = np.full(self.n_words if n == 1 else len(self.pairs), -1, np.int32)
             self.slot[n][pivots] = np.arange(len(pivots))
             self.list_starts[n] = np.append(first, len(postings[n]))
             self.list_items[n] = (postings[n] % len(items)).astype(np.int32)
 
-    def _runs(self, weight: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-        """Each item's threshold, and per size of run the sorted ``pivot * items + item``. ``weight`` and ``of`` are by place in ``flat``."""
+    def _bit(self, codes: np.ndarray) -> np.ndarray:
+        """The bit of each pair: the upper bits of a product."""
+        with np.errstate(over="ignore"):
+            return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.bits).bit_length())).astype(np.int64)
+
+    def pairs_of(self, ids: np.ndarray) -> np.ndarray:
+        """The pair that begins at each place, -1 where the items don't have it."""
+        out = np.full(len(ids), -1, np.int64)
+        if len(self.pairs):
+            codes = ids[:-1] * np.int64(self.n_words) + ids[1:]
+            maybe = np.flatnonzero(self.bits[self._bit(codes)])
+            at = np.minimum(np.searchsorted(self.pairs, codes[maybe]), len(self.pairs) - 1)
+            same = self.pairs[at] == codes[maybe]
+            out[maybe[same]] = at[same]
+        return out
+
+    def _runs(self, weight: np.ndarray, of: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """Each item's threshold, and per size of run the sorted ``pivot * items + item``. ``weight``, ``of`` and ``pair`` are by place in ``flat``."""
         flat, n_items = self.flat, len(self.ids)
         # A word counts once in a run: where it didn't stand before within it.
         by = np.lexsort((np.arange(len(flat)), flat, of))
@@ -115,23 +138,26 @@ class ItemIndex:
             for part in _chunks(len(starts), n):
                 at = starts[part, None] + np.arange(n)
                 np.minimum.at(least, mine[owner[part]], (weight[at] * (before[at] < starts[part, None])).sum(1))
-                pivots[part] = flat[starts[part] + self.rank[flat[at]].argmin(1)]
+                pivots[part] = flat[starts[part]] if n == 1 else pair[starts[part] + self.rank[pair[at[:, :-1]]].argmin(1)]
             postings[n] = np.unique(pivots * n_items + mine[owner])
         return least, postings
 
-    def passages(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def passages(self, ids: np.ndarray, pair: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and pivots (places) of the passages for runs of ``n`` words: neighbouring windows that have the pivot in common.
 
-        A word that no item of such runs has weighs nothing and breaks every run, so that no window holds one; no passage is
-        longer than 2n - 1 words.
+        A word, or a pair of neighbours, that no item has breaks every run, so that no window holds one; no passage is longer than
+        2n - 1 words.
         """
-        known = np.concatenate([[0], np.cumsum(self.bound[n][ids] > 0)])
-        starts = np.flatnonzero(known[n:] - known[:-n] == n)
+        if len(ids) < n:
+            return (np.zeros(0, np.int64),) * 3
+        count = lambda known: np.concatenate([[0], np.cumsum(known)])
+        words, pairs = count(self.bound[n][ids] > 0), count(pair >= 0)
+        starts = np.flatnonzero((words[n:] - words[:-n] == n) & (pairs[n - 1 : len(pairs) - 1] - pairs[: len(pairs) - n] == n - 1))
         if not len(starts):
             return starts, starts, starts
-        pivots = np.empty(len(starts), np.int64)
-        for part in _chunks(len(starts), n):
-            pivots[part] = starts[part] + self.rank[ids[starts[part, None] + np.arange(n)]].argmin(1)
+        pivots = starts.copy()
+        for part in _chunks(len(starts), n) if n > 1 else ():
+            pivots[part] += self.rank[pair[starts[part, None] + np.arange(n - 1)]].argmin(1)
         new = np.ones(len(starts), bool)
         new[1:] = (pivots[1:] != pivots[:-1]) | (starts[1:] != starts[:-1] + 1)
         first = np.flatnonzero(new)
@@ -141,24 +167,25 @@ class ItemIndex:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, values[at], np.float32(0))
 
-    def retrieve(self, ids: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def retrieve(self, ids: np.ndarray, pair: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """All (pivot's place, item, score) that reach the items' thresholds, of items with runs of ``n`` words.
 
         A passage is dropped if even the largest weights of its words stay below the threshold, or its pivot is no item's. Then the
         pivot's postings are walked: a block is skipped if the largest weights within it stay below, and its items are scored else.
         """
-        starts, ends, pivots = self.passages(ids, n)
-        keep = self.slot[n][ids[pivots]] >= 0
+        starts, ends, pivots = self.passages(ids, pair, n)
+        key = ids if n == 1 else pair
+        keep = self.slot[n][key[pivots]] >= 0
         starts, ends, pivots = starts[keep], ends[keep], pivots[keep]
         for part in _chunks(len(starts), 64 * n):
             s, e, p = starts[part], ends[part], pivots[part]
             at, owner = _spread(s, e - s)
-            pair = np.unique(owner * np.int64(len(self.rank)) + ids[at])  # each word of a passage once
-            owner, word = pair // len(self.rank), pair % len(self.rank)
+            once = np.unique(owner * np.int64(self.n_words) + ids[at])  # each word of a passage once
+            owner, word = once // self.n_words, once % self.n_words
             reach = np.bincount(owner, self.bound[n][word], minlength=len(s))
             first, size = np.searchsorted(owner, np.arange(len(s))), np.bincount(owner, minlength=len(s))
             asked = np.flatnonzero(reach >= 1 - SLACK)
-            slot = self.slot[n][ids[p[asked]]]
+            slot = self.slot[n][key[p[asked]]]
             where, k = _spread(self.list_starts[n][slot], self.list_starts[n][slot + 1] - self.list_starts[n][slot])
             passage, item = asked[k], self.list_items[n][where]
             for some in _chunks(len(item), 2 * n):
@@ -179,7 +206,11 @@ class ItemIndex:
     def verify(self, ids: np.ndarray, place: int, item: int) -> int:
         """Words of the longest run through ``place`` that text and item share, if it is as long as needed, else 0."""
         theirs, best = self.flat[self.starts[item] : self.ends[item]], 0
-        for at in np.flatnonzero(theirs == ids[place]).tolist():
+        same = theirs == ids[place]
+        if self.need[item] > 1:  # the pivot is a pair
+            same[:-1] &= theirs[1:] == ids[place + 1]
+            same[-1] = False
+        for at in np.flatnonzero(same).tolist():
             same = ids[place : place + len(theirs) - at] == theirs[at : at + len(ids) - place]
             after = len(same) if same.all() else int(same.argmin())
             back = min(place, at)
@@ -193,8 +224,9 @@ class ItemIndex:
         coded = [k for ws in texts for k in (*map(get, ws, repeat(unknown)), unknown)]
         ids, text_of = np.array(coded, np.int64), np.cumsum([len(ws) + 1 for ws in texts])
         found: dict[tuple[int, int], tuple[int, float]] = {}
+        pair = self.pairs_of(ids)
         for n in self.sizes:
-            for places, items, scores in self.retrieve(ids, n):
+            for places, items, scores in self.retrieve(ids, pair, n):
                 of = np.searchsorted(text_of, places, "right")
                 for p, item, score, text in zip(places.tolist(), items.tolist(), scores.tolist(), of.tolist()):
                     if length := self.verify(ids, p, item):
