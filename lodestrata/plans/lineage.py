@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder.
 
     ``spark.checkpoint.dir`` names it on a cluster. Only a local session without that setting (a test) gets a
-    temporary folder of this machine; a cluster without the setting is an error, as its executors could not share it.
+    temporary folder of this machine, which goes with the process; a cluster without the setting is an error, as its executors could not share it.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,6 +22,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="lodestrata-ckpt-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
     return named or sc.getCheckpointDir()
 

@@ -14,7 +14,7 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.sql.adaptive.coalescePartitions.enabled", "true").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.driver.memory", "4g").config("spark.sql.adaptive.coalescePartitions.enabled", "true").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
