@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestrata.plans.ranking import BIG_GROUP, null_safe_join, running_sums, value_blocks
+
 # The weights of confidence, recency, popularity, semantic similarity and exact match.
 WEIGHTS = {
     "balanced": {"confidence": 0.3, "recency": 0.2, "popularity": 0.2, "semantic_similarity": 0.2, "exact_match": 0.1},
@@ -47,9 +49,16 @@ def factors(confidence: Column, created: Column, accesses: Column, text: Column,
     }
 
 
-def ranked(results: DataFrame, by: Sequence[str], tie: Sequence[str], column: str = "score") -> DataFrame:
-    """``results`` with ``rank``, from 0 in the order of falling score, ties in the order of ``tie``."""
-    return results.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc_nulls_last(column), *tie)) - 1)
+def ranked(results: DataFrame, by: Sequence[str], tie: Sequence[str], column: str = "score", big: int = BIG_GROUP) -> DataFrame:
+    """``results``, cut or cheap to read, with ``rank``, from 0 in the order of falling score, ties in the order of ``tie``.
+
+    Groups of more than ``big`` results are ranked in blocks of scores. NaN comes first, as the greatest score, and null last.
+    """
+    score = F.col(column).cast("double")
+    down = F.when(score.isNull(), float("inf")).when(F.isnan(score), float("-inf")).otherwise(-score)
+    blocked, split = value_blocks(results.withColumns({"_x": down, "_one": F.lit(1)}), by, "_x", big)
+    placed = running_sums(blocked, by, [F.desc_nulls_last(column), *tie], {"_one": "_place"}, split)
+    return placed.select(*[c for c in results.columns if c != "rank"], (F.col("_place") - 1).cast("int").alias("rank"))
 
 
 def top_k(results: DataFrame, k: int, tie: Sequence[str], column: str = "score") -> DataFrame:
@@ -59,11 +68,22 @@ def top_k(results: DataFrame, k: int, tie: Sequence[str], column: str = "score")
 
 def top_k_per(results: DataFrame, by: Sequence[str], k: int, tie: Sequence[str], column: str = "score") -> DataFrame:
     """The ``k`` best of each group; the rank limit works before the shuffle too."""
-    return ranked(results, by, tie, column).where(F.col("rank") < k)
-
-
-def summary_cutoff(results: DataFrame, by: Sequence[str], order: Sequence, text: str, limit: int = 4000, overhead: int = 10) -> DataFrame:
-    """The first results of each group whose texts, each with an overhead, fit into ``limit`` characters; all if they fit as they are."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    sized = results.withColumn("_whole", F.sum(F.length(text)).over(W.partitionBy(*by))).withColumn("_used", F.sum(F.length(text) + overhead).over(w))
-    return sized.where((F.col("_whole") <= limit) | (F.col("_used") <= limit)).drop("_whole", "_used")
+    place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc_nulls_last(column), *tie))
+    return results.withColumn("_place", place).where(F.col("_place") <= k).withColumn("rank", F.col("_place") - 1).drop("_place")
+
+
+def summary_cutoff(results: DataFrame, by: Sequence[str], order: Sequence[str], text: str, limit: int = 4000, overhead: int = 10) -> DataFrame:
+    """The first results of each group whose texts, each with an overhead, fit into ``limit`` characters; all if they fit as they are.
+
+    As each result takes the overhead at least, no more than ``limit`` over ``overhead`` of a group can fit; the rank limit keeps these before
+    the shuffle. Groups that fit as they are have at most ``limit`` results with text, and are told by a sum.
+    """
+    size = F.coalesce(F.length(text), F.lit(0))
+    small = results.groupBy(*by).agg(F.sum(size).alias("_whole")).where(F.col("_whole") <= limit).select(*by, F.lit(True).alias("_fits"))
+    joined = null_safe_join(results, small, by, "left")
+    sized = joined.where("_fits is null")
+    if overhead > 0:
+        sized = sized.withColumn("_place", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_place") <= limit // overhead + 1)
+    used = F.sum(size + overhead).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    fitting = sized.withColumn("_used", used).where(F.col("_used") <= limit).select(*results.columns)
+    return joined.where("_fits").select(*results.columns).unionByName(fitting)

@@ -366,6 +366,30 @@ def test_ranking(spark):
     assert [(r.i, r["rank"]) for r in ranking.ranked(df, ["g"], ["i"]).orderBy("rank").collect()] == [(1, 0), (0, 1), (2, 2), (3, 3)]
 
 
+@pytest.mark.parametrize("big", [3, 10**6])
+def test_ranking_in_blocks(spark, big):
+    rng = random.Random(big)
+    rows = [(rng.choice([1, 1, None]), i, rng.choice([None, float("nan"), 0.5, -0.0, 0.0, rng.random(), float("inf")]), "x" * rng.randrange(20)) for i in range(80)]
+    df = spark.createDataFrame(rows, "g int, i int, score double, t string")
+    order = lambda r: (r[2] is None, 0 if r[2] is None else (-1e400 if r[2] != r[2] else -r[2]), r[2] == r[2], r[1])
+    groups = {g: sorted((r for r in rows if r[0] == g), key=order) for g in (1, None)}
+    want = {r[1]: n for rs in groups.values() for n, r in enumerate(rs)}
+    assert {r.i: r["rank"] for r in ranking.ranked(df, ["g"], ["i"], big=big).collect()} == want
+    top = ranking.top_k_per(df, ["g"], 4, ["i"])
+    assert {r.i: r["rank"] for r in top.collect()} == {i: n for i, n in want.items() if n < 4} and "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+    for limit in (100, 5000):
+        kept = set()
+        for g in (1, None):
+            own, used = [r for r in rows if r[0] == g], 0  # in the order of i
+            if sum(len(r[3]) for r in own) <= limit:
+                kept |= {r[1] for r in own}
+            else:
+                for r in own:
+                    used += len(r[3]) + 10
+                    kept |= {r[1]} if used <= limit else set()
+        assert {r.i for r in ranking.summary_cutoff(df, ["g"], ["i"], "t", limit).collect()} == kept
+
+
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([(1, bytearray(b"\x01")), (2, None)], "i int, b binary")
     assert [json.loads(r.json) for r in export.as_json(df).orderBy("json").collect()] == [{"i": 1, "b": "01"}, {"i": 2}]
