@@ -224,13 +224,15 @@ class ItemIndex:
         coded = [k for ws in texts for k in (*map(get, ws, repeat(unknown)), unknown)]
         ids, text_of = np.array(coded, np.int64), np.cumsum([len(ws) + 1 for ws in texts])
         found: dict[tuple[int, int], tuple[int, float]] = {}
-        pair = self.pairs_of(ids)
+        pair, whole = self.pairs_of(ids), (self.ends - self.starts).tolist()
         for n in self.sizes:
             for places, items, scores in self.retrieve(ids, pair, n):
                 of = np.searchsorted(text_of, places, "right")
                 for p, item, score, text in zip(places.tolist(), items.tolist(), scores.tolist(), of.tolist()):
+                    was = found.get((text, self.ids[item]), (0, 0.0))
+                    if was[0] >= whole[item] and score <= was[1]:
+                        continue  # as in a text that repeats an item
                     if length := self.verify(ids, p, item):
-                        was = found.get((text, self.ids[item]), (0, 0.0))
                         found[text, self.ids[item]] = (max(was[0], length), max(was[1], score))
         return found
 
