@@ -6,11 +6,11 @@ lines_added``) and ``linked_issues``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestrata.operators.temporal import asof_join
 from lodestrata.plans.lineage import cut
-from lodestrata.plans.ranking import null_safe_join, running_sums, value_blocks
+from lodestrata.plans.ranking import BIG_GROUP, null_safe_join, running_sums, value_blocks
 
 # Weights of severities and intents.
 SEVERITIES = ("trivial", "minor", "moderate", "major", "critical")
@@ -126,22 +126,32 @@ def risk_color(level: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in COLORS.items() for x in pair]), level)
 
 
-def change_risk(versions: DataFrame) -> DataFrame:
-    """``path, version_id, score, level`` of each version.
-
-    Severity weighs 0.3; 0.2, 0.25, 0.15 and 0.1 are added for paths of more than 10 versions, changes of more than 300 lines, risky intents,
-    and more than 3 other versions since one hour before.
-    """
-    versioned = cut(with_lines(versions).select("path", "version_id", "severity", "intent", (F.col("added") + F.col("removed")).alias("lines"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_t")))
+def _neighbours_in_blocks(versioned: DataFrame, big: int) -> DataFrame:
+    """``versioned`` (``path, _t``) with ``n``, the versions of its path, and ``near``, those of other times from an hour before on."""
     times = versioned.groupBy("path", "_t").agg(F.count("*").alias("same"))
     totals = times.groupBy("path").agg(F.sum("same").alias("n"))
-    blocked, split = value_blocks(times, ["path"], "_t")
+    blocked, split = value_blocks(times, ["path"], "_t", big)
     upto = running_sums(blocked, ["path"], ["_t"], {"same": "upto"}, split)
     # All versions but those more than an hour older and those of the same time; the older ones are counted up to the last time before that hour.
     old = upto.select("path", F.col("_t").alias("ts"), F.lit(0).alias("seq"), "upto")
-    hour = asof_join(times.select("path", (F.col("_t") - 3_600_000_001).alias("ts"), "_t", "same"), old, ["path"])
+    hour = asof_join(times.select("path", (F.col("_t") - 3_600_000_001).alias("ts"), "_t", "same"), old, ["path"], big=big)
     near = null_safe_join(hour.select("path", "_t", "same", F.coalesce("match.upto", F.lit(0)).alias("far")), totals, ["path"])
-    rows = null_safe_join(versioned, near.select("path", "_t", "n", (F.col("n") - F.col("far") - F.col("same")).alias("near")), ["path", "_t"])
+    return null_safe_join(versioned, near.select("path", "_t", "n", (F.col("n") - F.col("far") - F.col("same")).alias("near")), ["path", "_t"])
+
+
+def change_risk(versions: DataFrame, big: int = BIG_GROUP) -> DataFrame:
+    """``path, version_id, score, level`` of each version; paths of more than ``big`` versions are counted in blocks of time.
+
+    Severity weighs 0.3; 0.2, 0.25, 0.15 and 0.1 are added for paths of more than 10 versions, changes of more than 300 lines, risky intents,
+    and more than 3 other versions since one hour before.
+    """
+    versioned = with_lines(versions).select("path", "version_id", "severity", "intent", (F.col("added") + F.col("removed")).alias("lines"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"))
+    if versions.groupBy("path").count().where(F.col("count") > big).isEmpty():
+        by_path = W.partitionBy("path")
+        hour = by_path.orderBy("_t").rangeBetween(-3_600_000_000, W.unboundedFollowing)
+        rows = versioned.withColumn("n", F.count("*").over(by_path)).withColumn("near", F.count("*").over(hour) - F.count("*").over(W.partitionBy("path", "_t")))
+    else:
+        rows = _neighbours_in_blocks(cut(versioned), big)
     capped = lambda c, over: F.least(F.lit(1.0), F.col(c) / F.lit(float(over)))
     often, large, intent, rapid = capped("n", 100), capped("lines", 1000), F.coalesce(weight(F.col("intent"), INTENT_RISK), F.lit(0.3)), capped("near", 10)
     score = (

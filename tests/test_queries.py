@@ -76,3 +76,12 @@ def test_field_delta_of_every_delivery(spark, tmp_path):
     spark.createDataFrame(rows, "delivery_no int, entity_namespace string, entity_local_id string, state_data string, s int").selectExpr("* except (s)", "timestamp_seconds(s) AS delivered_at").write.parquet(f"{tmp_path}/snapshot_deliveries.parquet")
     got = {(r.delivery_no, r.entity_local_id, r.field, r.change) for r in REGISTRY.queries["entity_field_delta_all"](spark, str(tmp_path)).collect()}
     assert got == {(2, "e", "b", "added"), (3, "e", "a", "removed"), (3, "e", "b", "modified"), (6, "e", "b", "modified"), (8, "e", "b", "modified"), (8, "e", "d", "added")}
+
+
+def test_change_risk_in_blocks(spark):
+    from lodestrata.operators.doc_history import change_risk
+    from lodestrata.queries.records import versions_of
+
+    versions = versions_of(spark, SF)
+    whole, blocks = ({(r.path, r.version_id): (round(r.score, 12), r.level) for r in change_risk(versions, big).collect()} for big in (10**6, 2))
+    assert whole == blocks and len(whole) == versions.count()
