@@ -380,7 +380,7 @@ def pii_redact_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # The tables' code names no imports, so each text is led by the lines that would import its source and its actor.
-_IMPORTING = "'import \"' || coalesce(source, 'none') || '.zig\"' || chr(10) || '  use actor' || chr(9) || ';' || chr(10) || 'from a' || coalesce(actor_id, 0) || ' x' || chr(10) || text"
+_IMPORTING = "'import \"' || coalesce(source, 'none') || '.src\"' || chr(10) || '  use actor' || chr(9) || ';' || chr(10) || 'from a' || coalesce(actor_id, 0) || ' x' || chr(10) || text"
 
 
 @Q(
@@ -392,7 +392,7 @@ _IMPORTING = "'import \"' || coalesce(source, 'none') || '.zig\"' || chr(10) ||
 )
 def extract_imports(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").where("text is not null")
-    code = F.concat(F.lit('import "'), F.coalesce("source", F.lit("none")), F.lit('.zig"\n  use actor\t;\nfrom a'), F.coalesce("actor_id", F.lit(0)).cast("string"), F.lit(" x\n"), F.col("text"))
+    code = F.concat(F.lit('import "'), F.coalesce("source", F.lit("none")), F.lit('.src"\n  use actor\t;\nfrom a'), F.coalesce("actor_id", F.lit(0)).cast("string"), F.lit(" x\n"), F.col("text"))
     return docs.select("doc_id", F.explode(textscan.imports(code)).alias("path"))
 
 

@@ -150,17 +150,17 @@ def test_predicates(spark):
     assert q.required == ["database performance", "btree"] and q.excluded == ["slow"] and q.filters == {"type": "file", "confidence": "0.8", "after": "100", "wildcard": "src/*"}
     q = predicates.parse_topic_query("a OR b c")
     assert q.optional == ["a", "b"] and q.required == ["c"]
-    cases = [("abc", "abc", True), ("xbc", "abc", False), ("src/a/b", "src/*", True), ("a.zig", "*.zig", True), ("ab", "a?", True), ("a", "a?", False), ("a\nb", "a*b", True), ("a+b", "a+b", True), ("", "*", True)]
+    cases = [("abc", "abc", True), ("xbc", "abc", False), ("src/a/b", "src/*", True), ("a.txt", "*.txt", True), ("ab", "a?", True), ("a", "a?", False), ("a\nb", "a*b", True), ("a+b", "a+b", True), ("", "*", True)]
     for text, pattern, want in cases:
         assert spark.createDataFrame([(text,)], "t string").select(predicates.glob(F.col("t"), pattern)).first()[0] is want, (text, pattern)
 
 
 def test_topics(spark):
-    docs = spark.createDataFrame([("f", "db.zig", "zig database btree"), ("f", "pager.zig", "Zig pager io zig"), ("f", "none", None)], "ns string, id string, text string")
+    docs = spark.createDataFrame([("f", "tree.txt", "zig database btree"), ("f", "pages.txt", "Zig pager io zig"), ("f", "none", None)], "ns string, id string, text string")
     index = search.postings(docs, "text")
     names = lambda df: sorted(r.id for r in df.collect())
-    assert names(search.search_any(index, ["zig"])) == ["db.zig", "pager.zig"] and names(search.search_all(index, ["zig", "btree"])) == ["db.zig"]
-    assert names(search.search(index, predicates.parse_topic_query("zig NOT btree"))) == ["pager.zig"]
+    assert names(search.search_any(index, ["zig"])) == ["tree.txt", "pages.txt"] and names(search.search_all(index, ["zig", "btree"])) == ["tree.txt"]
+    assert names(search.search(index, predicates.parse_topic_query("zig NOT btree"))) == ["pages.txt"]
     assert search.term_stats(index, 3).where("term = 'zig'").first().tf == 3
 
 
