@@ -156,12 +156,12 @@ def test_predicates(spark):
 
 
 def test_topics(spark):
-    docs = spark.createDataFrame([("f", "tree.txt", "zig database btree"), ("f", "pages.txt", "Zig pager io zig"), ("f", "none", None)], "ns string, id string, text string")
+    docs = spark.createDataFrame([("f", "a_tree.txt", "oak database btree"), ("f", "pages.txt", "Oak pager io oak"), ("f", "none", None)], "ns string, id string, text string")
     index = search.postings(docs, "text")
     names = lambda df: sorted(r.id for r in df.collect())
-    assert names(search.search_any(index, ["zig"])) == ["tree.txt", "pages.txt"] and names(search.search_all(index, ["zig", "btree"])) == ["tree.txt"]
-    assert names(search.search(index, predicates.parse_topic_query("zig NOT btree"))) == ["pages.txt"]
-    assert search.term_stats(index, 3).where("term = 'zig'").first().tf == 3
+    assert names(search.search_any(index, ["oak"])) == ["a_tree.txt", "pages.txt"] and names(search.search_all(index, ["oak", "btree"])) == ["a_tree.txt"]
+    assert names(search.search(index, predicates.parse_topic_query("oak NOT btree"))) == ["pages.txt"]
+    assert search.term_stats(index, 3).where("term = 'oak'").first().tf == 3
 
 
 def test_questions(spark):
